@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodespark.llm import docpairs, leakage, outranking, tokenization
+from lodespark.llm import docpairs, leakage, neighbours, outranking, tokenization
 from lodespark.session import table
 
 
@@ -22,6 +22,14 @@ def p2_flows(spark: SparkSession, sf: str) -> DataFrame:
     return _flows(spark, sf).select("request_id", "target", F.round(F.col("flow") + 1e-9, 6).alias("flow"), "n_scores")
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    out = [
+        neighbours.similar_pairs(table(spark, sf, rel), "id", "embedding").select(F.lit(rel).alias("rel"), "id_a", "id_b")
+        for rel in ("ci_symbols", "ci_files")
+    ]
+    return out[0].unionByName(out[1])
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return docpairs.documented_ids(table(spark, sf, "ci_symbols"), table(spark, sf, "fts_files"))
 
@@ -41,6 +49,7 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found,
     "p2_flows": p2_flows,
+    "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_pairs": p6_pairs,
     "p7_ids": p7_ids,
@@ -63,7 +72,20 @@ pair AS (
 )
 SELECT r AS request_id, t AS target, round(avg(d / greatest(1, n - 1)) + 1e-9, 6) AS flow, count(s) AS n_scores FROM pair GROUP BY r, t
 """
+P5_SIDE = """
+SELECT '{rel}' AS rel, a.id AS id_a, b.id AS id_b FROM v_{rel} a JOIN v_{rel} b ON a.id < b.id AND list_dot_product(a.v, b.v) >= 0.9
+"""
+P5_VECTORS = """
+v_{rel} AS (
+  SELECT id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM (
+    SELECT DISTINCT ON (id) id, CAST(embedding AS DOUBLE[]) AS v FROM {rel}
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+  )
+)
+"""
 ORACLES = {
+    "p5_found": "WITH " + ",".join(P5_VECTORS.format(rel=r) for r in ("ci_symbols", "ci_files"))
+    + " UNION ALL ".join(P5_SIDE.format(rel=r) for r in ("ci_symbols", "ci_files")),
     "p2_flows": P2_FLOWS,
     "p2_found": f"""
 WITH f AS ({P2_FLOWS})
