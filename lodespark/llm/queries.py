@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodespark.llm import docpairs, leakage, neighbours, outranking, tokenization
+from lodespark.llm import docpairs, leakage, neighbours, outranking, syntax, tokenization
 from lodespark.session import table
 
 
@@ -22,6 +22,14 @@ def p2_flows(spark: SparkSession, sf: str) -> DataFrame:
     return _flows(spark, sf).select("request_id", "target", F.round(F.col("flow") + 1e-9, 6).alias("flow"), "n_scores")
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return syntax.failing(table(spark, sf, "fts_files"))
+
+
+def p3_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return syntax.rates(table(spark, sf, "fts_files"), table(spark, sf, "ci_files"))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     out = [
         neighbours.similar_pairs(table(spark, sf, rel), "id", "embedding").select(F.lit(rel).alias("rel"), "id_a", "id_b")
@@ -49,6 +57,8 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found,
     "p2_flows": p2_flows,
+    "p3_found": p3_found,
+    "p3_rates": p3_rates,
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_pairs": p6_pairs,
