@@ -22,6 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodespark.session import spread
+
 #: Words of a passage, words of a shingle, changed or added words allowed: one in EDIT_IN.
 PASSAGE, SHINGLE, EDIT_IN = 20, 3, 12
 #: Document windows: WIDTH words every STRIDE words hold every run of WIDTH - STRIDE words whole.
@@ -255,6 +257,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_co
         size += n
     kinds = [docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()]
     schema = f"`{id_col}` {kinds[0]}, `{item_col}` {kinds[1]}"
+    rows_of = spread(docs.select(id_col, F.col(text_col).cast("string")).where(F.col(id_col).isNotNull()), id_col)
     parts = []
     for block in blocks:
         sent = spark.sparkContext.broadcast(block)
@@ -277,7 +280,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_co
         from pyspark.sql.pandas.types import to_arrow_type
 
         out_type = to_arrow_type(items.schema[item_col].dataType)
-        parts.append(docs.select(id_col, F.col(text_col).cast("string")).where(F.col(id_col).isNotNull()).mapInArrow(run, schema))
+        parts.append(rows_of.mapInArrow(run, schema))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodespark.llm import docpairs, leakage, neighbours, outranking, syntax, tokenization
+from lodespark.llm import docpairs, language, leakage, neighbours, outranking, syntax, tokenization
 from lodespark.session import table
 
 
@@ -54,6 +54,14 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.leaks(table(spark, sf, "documents"), table(spark, sf, "eval_prompts"), "doc_id", "text", "item_id", "prompt")
 
 
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return language.wrong_labels(table(spark, sf, "documents"))
+
+
+def p9_segments(spark: SparkSession, sf: str) -> DataFrame:
+    return language.languages(table(spark, sf, "documents"))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_flows": p2_flows,
@@ -64,6 +72,8 @@ QUERIES = {
     "p6_pairs": p6_pairs,
     "p7_ids": p7_ids,
     "p8_found": p8_found,
+    "p9_found": p9_found,
+    "p9_segments": p9_segments,
 }
 
 P2_FLOWS = """

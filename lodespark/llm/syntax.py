@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodespark.llm import grammars
+from lodespark.session import spread
 
 # File extensions and their languages.
 EXTENSIONS = {
@@ -88,8 +89,8 @@ def check_files(files: DataFrame) -> DataFrame:
     distinct verdict. Null, empty and comment-only bodies are valid.
     """
     lang = extension_language(F.col("path"))
-    rows = files.where(F.col("file_id").isNotNull() & lang.isNotNull()).select("file_id", "path", lang.alias("expected"), "body")
-    return rows.mapInArrow(_check, "file_id bigint, path string, expected string, status string, parses_as string").distinct()
+    rows = spread(files.select("file_id", "path", "body"), "file_id").where(F.col("file_id").isNotNull() & lang.isNotNull())
+    return rows.select("file_id", "path", lang.alias("expected"), "body").mapInArrow(_check, "file_id bigint, path string, expected string, status string, parses_as string").distinct()
 
 
 def failing(files: DataFrame) -> DataFrame:

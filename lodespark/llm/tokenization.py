@@ -17,6 +17,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodespark.session import spread
+
 # Fixed value: the pattern that cuts text into pieces before the vocabulary applies.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -169,4 +171,4 @@ def encode_texts(df: DataFrame, id_col: str, text_col: str, vocabulary: str | No
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], names=[id_col, "ids"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    return spread(df.select(id_col, F.col(text_col).cast("string")), id_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
