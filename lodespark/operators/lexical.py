@@ -54,7 +54,7 @@ def bm25(files: DataFrame, query: Sequence[str], id_col: str = "file_id", body:
     wanted = sorted({q.lower() for q in query})
     docs = files.where(F.col(id_col).isNotNull() & F.col(body).isNotNull()).select(F.col(id_col).alias("id"), F.col(body).alias("body")).distinct()
     terms = text.index_terms(F.col("body"))
-    counted = docs.select("id", F.size(terms).alias("len"), *[F.size(F.filter(terms, lambda t, w=w: t == w)).alias(f"tf{i}") for i, w in enumerate(wanted)])
+    counted = docs.select("id", F.size(terms).alias("len"), *[(F.size(terms) - F.size(F.array_remove(terms, w))).alias(f"tf{i}") for i, w in enumerate(wanted)])
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))])
     x = counted.where(" OR ".join(f"tf{i} > 0" for i in range(len(wanted)))).crossJoin(F.broadcast(stats))  # one row
     score = F.lit(0.0)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from lodespark.plans import core_oracles as sql
+from lodespark.plans import core_queries as core
 from lodespark.plans import data_queries
 
 
 def core_queries() -> dict:
-    return {**data_queries.QUERIES}
+    return {**core.QUERIES, **data_queries.QUERIES}
 
 
 def core_oracles() -> dict:
-    return {**data_queries.ORACLES}
+    return {**sql.ORACLES, **data_queries.ORACLES}
