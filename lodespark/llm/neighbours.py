@@ -1,9 +1,9 @@
 """Most similar vectors of every vector with a permutation index.
 
 A bounded sample of the vectors serves as pivots. Every vector is represented by its PREFIX nearest
-pivots in order and posted in the inverted files of pivot pairs among its first KEYS pivots. Vectors that
+pivots in order and posted in the inverted files of pairs of its first KEYS pivots. Vectors that
 meet in a file are ranked by the footrule distance of their prefixes; those near enough are reranked by
-their exact cosine. Files larger than BLOCK are cut into chunks and every pair of chunks becomes a task
+the cosine of one-byte sketches, and what is left by the exact cosine. Files larger than BLOCK are cut into chunks and every pair of chunks becomes a task
 of its own, so one file with a third of all vectors is neither dropped nor gathered in one task. Exact
 copies are one vector of the index.
 """
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodespark.session import cut
+from lodespark.session import cut, saved
 
 #: Pivots of a vector that are kept, and those among them whose pairs name the inverted files.
 PREFIX, KEYS = 16, 5
@@ -26,18 +26,15 @@ PREFIX, KEYS = 16, 5
 BLOCK, PAIRS = 2048, 50_000
 #: Most pivots; each is one vector sent to every executor.
 MOST_PIVOTS = 8192
-PAIRS_OF = tuple(combinations(range(KEYS), 2))
+#: The pairs that are posted: those of low ranks together.
+PAIRS_OF = tuple((i, j) for i, j in combinations(range(KEYS), 2) if i + j <= KEYS)
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str, dim: int) -> DataFrame:
-    """``id``, ``v`` of the vectors with exactly ``dim`` finite values that are not all zero, one row per id.
-
-    Null ids are dropped; of several different vectors of an id the smallest (by its values) stays.
-    """
+    """``id``, ``v`` of the vectors with exactly ``dim`` finite values that are not all zero. Null ids are dropped."""
     v = F.col(vec_col)
     fine = (F.size(v) == dim) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
-    rows = df.where(F.col(id_col).isNotNull() & v.isNotNull() & fine).select(F.col(id_col).alias("id"), v.cast("array<float>").alias("v"))
-    return rows.groupBy("id").agg(F.min("v").alias("v"))
+    return df.where(F.col(id_col).isNotNull() & v.isNotNull() & fine).select(F.col(id_col).cast("bigint").alias("id"), v.cast("array<float>").alias("v"))
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -103,38 +100,48 @@ def closeness(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return same.reshape(len(p), -1).astype(np.float32) @ w
 
 
-def _post(dim: int, sent):
-    a = np.array([i for i, _ in PAIRS_OF])
-    b = np.array([j for _, j in PAIRS_OF])
+def files_of(p: np.ndarray) -> np.ndarray:
+    """The inverted files of prefixes, one column per posted pair of ranks; pairs with a missing pivot give -1."""
+    x, y = (p[:, [r[k] for r in PAIRS_OF]].astype(np.int64) for k in (0, 1))
+    return np.where(np.maximum(x, y) == 65535, -1, np.minimum(x, y) * 65536 + np.maximum(x, y))
+
 
+def _post(dim: int, sent, prefix: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivots = np.frombuffer(sent.value, np.float32).reshape(-1, dim)
         for whole in batches:
             for batch in _slices(whole, 2048):
                 p = prefixes(_rows(batch.column(1), np.float32, dim), pivots)
-                ids = batch.column(0).to_numpy()
-                x, y = p[:, a].astype(np.int64), p[:, b].astype(np.int64)
-                file = np.minimum(x, y) * 65536 + np.maximum(x, y)
-                file, ids, p = file.ravel(), np.repeat(ids, len(PAIRS_OF)), np.repeat(p, len(PAIRS_OF), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(file), pa.array(ids), _binary(p)], names=["file", "id", "prefix"])
+                file = files_of(p)
+                there = (file >= 0).ravel()
+                ids = np.repeat(batch.column(0).to_numpy(), len(PAIRS_OF))[there]
+                columns = [pa.array(file.ravel()[there]), pa.array(ids)]
+                if prefix:
+                    x = _rows(batch.column(1), np.float32, dim)
+                    both = np.concatenate([p.view(np.uint8), np.round(x * 127).astype(np.int8).view(np.uint8)], 1)
+                    columns.append(_binary(np.repeat(both, len(PAIRS_OF), axis=0)[there]))
+                yield pa.RecordBatch.from_arrays(columns, names=["file", "id", "prefix"][: len(columns)])
 
     return run
 
 
-def _compare(least: float):
-    def flush(left: list, right: list, at: np.ndarray, ids: np.ndarray, prefix: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _compare(least: float, dim: int, min_cosine: float):
+    # rounding to 1/127 moves a cosine by at most (|x|_1 + |y|_1) / 254 + dim / 254 ** 2 with |x|_1 <= sqrt(dim)
+    enough = (min_cosine - 2 * np.sqrt(dim) / 254 - dim / 254**2) * 127**2
+
+    def flush(left: list, right: list, at: np.ndarray, ids: np.ndarray, prefix: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
         i, j = np.concatenate(left), np.concatenate(right)
         for lo in range(0, len(i), PAIRS):
             x, y = i[lo : lo + PAIRS], j[lo : lo + PAIRS]
             good = closeness(prefix[x], prefix[y]) >= least
             x, y = x[good], y[good]
+            good = np.einsum("ij,ij->i", sketch[x].astype(np.float32), sketch[y].astype(np.float32)) >= enough
+            x, y = x[good], y[good]
             if not len(x):
                 continue
-            # a pair that meets in several files is told by the first of them only
-            p, q = prefix[x][:, :KEYS], prefix[y][:, :KEYS]
-            common = np.where((p[:, :, None] == q[:, None, :]).any(2), p, 65535)
-            common.sort(axis=1)
-            first = common[:, 0].astype(np.int64) * 65536 + common[:, 1]
+            # a pair that meets in several files is told by the lowest of them only
+            p, q = files_of(prefix[x]), files_of(prefix[y])
+            first = np.where(((p[:, :, None] == q[:, None, :]) & (p >= 0)[:, :, None]).any(2), p, np.iinfo(np.int64).max).min(1)
             tell = first == at[x]
             x, y = ids[x[tell]], ids[y[tell]]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
@@ -144,9 +151,11 @@ def _compare(least: float):
 
         def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
             t = t.combine_chunks()
-            file, i, j, own, ids = (t.column(c).to_numpy() for c in ("file", "i", "j", "own", "id"))
-            prefix = _rows(t.column("prefix").chunk(0), np.uint16, PREFIX)
-            edge = np.flatnonzero((file[1:] != file[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            file, task, ids = (t.column(c).to_numpy() for c in ("file", "task", "id"))
+            i, j, own = task >> 42, task >> 21 & 0x1FFFFF, task & 0x1FFFFF
+            both = _rows(t.column("prefix").chunk(0), np.uint8, 2 * PREFIX + dim)
+            prefix, sketch = np.ascontiguousarray(both[:, : 2 * PREFIX]).view(np.uint16), both[:, 2 * PREFIX :].view(np.int8)
+            edge = np.flatnonzero((file[1:] != file[:-1]) | ((task[1:] ^ task[:-1]) >> 21 != 0)) + 1
             starts, ends = np.concatenate([[0], edge]), np.concatenate([edge, [len(file)]])
             left, right, n = [], [], 0
             for s, e in zip(starts.tolist(), ends.tolist()):
@@ -164,7 +173,7 @@ def _compare(least: float):
                         right.append(y)
                         n += len(x)
                         if n > 4 * PAIRS:
-                            yield from flush(left, right, file, ids, prefix)
+                            yield from flush(left, right, file, ids, prefix, sketch)
                             left, right, n = [], [], 0
                 else:
                     mine, other = s + np.flatnonzero(own[s:e] == i[s]), s + np.flatnonzero(own[s:e] == j[s])
@@ -173,18 +182,18 @@ def _compare(least: float):
                         right.append(other)
                         n += len(other)
                         if n > 4 * PAIRS:
-                            yield from flush(left, right, file, ids, prefix)
+                            yield from flush(left, right, file, ids, prefix, sketch)
                             left, right, n = [], [], 0
             if n:
-                yield from flush(left, right, file, ids, prefix)
+                yield from flush(left, right, file, ids, prefix, sketch)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             t = pa.Table.from_batches([batch])
             t = t if rest is None else pa.concat_tables([rest, t])
-            file, i, j = (t.column(c).to_numpy() for c in ("file", "i", "j"))
-            last = np.flatnonzero((file != file[-1]) | (i != i[-1]) | (j != j[-1]))
+            file, task = (t.column(c).to_numpy() for c in ("file", "task"))
+            last = np.flatnonzero((file != file[-1]) | ((task ^ task[-1]) >> 21 != 0))
             cut_at = last[-1] + 1 if len(last) else 0  # the last task may go on in the next batch
             if cut_at:
                 yield from work(t.slice(0, cut_at))
@@ -213,7 +222,7 @@ def index_size(n: int) -> int:
     return int(min(MOST_PIVOTS, 2 ** round(np.log2(4 * np.sqrt(n)))))
 
 
-def similar_pairs(df: DataFrame, id_col: str, vec_col: str, dim: int = 64, k: int = 5, min_cosine: float = 0.9, least: float = 44.0) -> DataFrame:
+def similar_pairs(df: DataFrame, id_col: str, vec_col: str, dim: int = 64, k: int = 5, min_cosine: float = 0.9, least: float = 60.0) -> DataFrame:
     """Pairs ``id_a`` < ``id_b`` with a cosine of at least ``min_cosine`` of which one is among the ``k`` nearest of the other.
 
     Ties in similarity go to the smaller id. ``least`` is the footrule closeness (0 to 136) that a pair
@@ -222,32 +231,43 @@ def similar_pairs(df: DataFrame, id_col: str, vec_col: str, dim: int = 64, k: in
     rows. ids must be integers.
     """
     spark = df.sparkSession
-    named = cut(usable(df, id_col, vec_col, dim).mapInArrow(_normalised(dim), "id bigint, key bigint, vec binary"))
-    classes = named.groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.min("vec").alias("vec"))
-    reps = cut(classes.drop("key"))
+    rows = usable(df, id_col, vec_col, dim).mapInArrow(_normalised(dim), "id bigint, key bigint, vec binary")
+    # vectors move once, by their key; an id that came with several vectors belongs to the lowest key
+    members = rows.groupBy("id").agg(F.min("key").alias("key"))
+    classes = members.groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
+    reps = saved(rows.groupBy("key").agg(F.min("vec").alias("vec")).join(classes, "key"), "vectors")
     n, copies = reps.agg(F.count(F.lit(1)), F.max("copies")).first()
     if not n:
         return spark.createDataFrame([], "id_a bigint, id_b bigint, cosine double")
     if n > 1:
         sample = reps.orderBy(F.xxhash64("id"), "id").limit(index_size(n)).select("vec").collect()
         sent = spark.sparkContext.broadcast(b"".join(bytes(r[0]) for r in sample))
-        posted = cut(reps.select("id", "vec").mapInArrow(_post(dim, sent), "file bigint, id bigint, prefix binary"))
-        large = posted.groupBy("file").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("chunks")).where("chunks > 1")
-        own = F.pmod(F.xxhash64("id"), F.col("chunks"))
-        tasks = posted.join(large, "file", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("own", own)
-        tasks = tasks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        tasks = tasks.select("file", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "prefix")
-        tasks = tasks.repartition("file", "i", "j").sortWithinPartitions("file", "i", "j")
-        near = cut(tasks.mapInArrow(_compare(least), "a bigint, b bigint"))
-        va, vb = reps.select(F.col("id").alias("a"), F.col("vec").alias("va")), reps.select(F.col("id").alias("b"), F.col("vec").alias("vb"))
-        edges = near.join(va, "a").join(vb, "b").select("a", "b", "va", "vb").mapInArrow(_cosines(dim), "a bigint, b bigint, cosine double").where(F.col("cosine") >= min_cosine)
+        sizes = reps.select("id", "vec").mapInArrow(_post(dim, sent, False), "file bigint, id bigint").groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+        large = saved(sizes.where(F.col("n") > BLOCK).select("file", F.ceil(F.col("n") / BLOCK).alias("chunks")), "large")
+        tasks = reps.select("id", "vec").mapInArrow(_post(dim, sent, True), "file bigint, id bigint, prefix binary")
+        if not large.isEmpty():
+            # task: the two chunks that meet and the row's own one, 21 bits each
+            own, other = F.pmod(F.xxhash64("id"), F.col("chunks")), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+            tasks = tasks.join(large, "file", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+            tasks = tasks.withColumn("own", own).withColumn("other", other)
+            packed = F.shiftleft(F.least("own", "other"), 42) + F.shiftleft(F.greatest("own", "other"), 21) + F.col("own")
+        else:
+            packed = F.lit(0).cast("bigint")
+        tasks = tasks.select("file", packed.alias("task"), "id", "prefix")
+        tasks = tasks.repartition(F.col("file"), F.shiftright("task", 21)).sortWithinPartitions("file", "task")
+        near = cut(tasks.mapInArrow(_compare(least, dim, min_cosine), "a bigint, b bigint"))
+        vectors = reps.select("id", "vec")
+        first, second = vectors.alias("first"), vectors.alias("second")
+        pairs = near.join(first, F.col("a") == F.col("first.id")).join(second, F.col("b") == F.col("second.id"))
+        edges = pairs.select("a", "b", F.col("first.vec").alias("va"), F.col("second.vec").alias("vb"))
+        edges = cut(edges.mapInArrow(_cosines(dim), "a bigint, b bigint, cosine double").where(F.col("cosine") >= min_cosine))
     else:
         edges = spark.createDataFrame([], "a bigint, b bigint, cosine double")
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
     if copies > 1:
         # of a class of copies the k + 1 smallest ids can be someone's neighbours; each member has its own list
         many = reps.where("copies > 1").select("id")
-        member = named.join(classes.where("copies > 1").select("key", F.col("id").alias("rep")), "key").select("id", "rep")
+        member = members.join(reps.where("copies > 1").select("key", F.col("id").alias("rep")), "key").select("id", "rep")
         heads = member.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("r") <= k + 1).drop("r")
         heads = heads.unionByName(reps.where("copies = 1").select("id", F.col("id").alias("rep")))
         every = member.unionByName(reps.where("copies = 1").select("id", F.col("id").alias("rep")))
