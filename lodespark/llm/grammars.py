@@ -242,7 +242,7 @@ class JavaScript(Parser):
             self.assign()
 
     def arrow(self) -> bool:
-        if self.v == "async" and not self.nl[self.i + 1] and (self.kind[self.i + 1] == "n" and self.peek(2) == "=>" or self.peek() == "(" and self.peek_after(self.i + 1) in ("=>", ":")):
+        if self.v == "async" and not self.nl[self.i + 1] and (self.kind[self.i + 1] == "n" and self.peek(2) == "=>" or self.peek() == "(" and self.peek_after(self.i + 1) in ("=>", ":") or self.TS and self.peek() == "<"):
             at = self.i
             self.i += 1
             if self.arrow():

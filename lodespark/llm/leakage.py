@@ -43,7 +43,7 @@ LOOKALIKES = str.maketrans(
         "ꞵ": "b", "ո": "n", "օ": "o", "ս": "u", "ց": "g", "հ": "h", "զ": "q", "ѡ": "w", "ƅ": "b", "ʏ": "y", "ᴏ": "o", "ѐ": "e", "ё": "e", "ї": "i",
     }
 )
-_ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})|\\x([0-9a-fA-F]{2})|\\([ntr])|%([0-9a-fA-F]{2})")
+_ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})|\\x([0-9a-fA-F]{2})|\\([ntrNTR])|%([0-9a-fA-F]{2})")
 _TAG = re.compile(r"</?[a-zA-Z][^<>]*>|<!--|-->")
 _INSIDE = re.compile(r"[_\\*~`'’]+|(?<=\w)-\n(?=\w)")
 _WORD = re.compile(r"[^\W_]+")
