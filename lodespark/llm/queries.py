@@ -79,7 +79,7 @@ QUERIES = {
 P2_FLOWS = """
 WITH best AS (
   SELECT request_id AS r, target AS t, regexp_replace(regexp_extract(reason, '^[a-z]+(-[a-z]+)*'), '-symbol$', '') AS c, max(score) AS s
-  FROM ranked_items WHERE score IS NOT NULL AND NOT isnan(score) AND NOT isinf(score) AND target IS NOT NULL GROUP BY 1, 2, 3
+  FROM ranked_items WHERE score IS NOT NULL AND CAST(score AS VARCHAR) NOT IN ('nan', 'inf', '-inf') AND target IS NOT NULL GROUP BY 1, 2, 3
 ), tg AS (SELECT DISTINCT r, t FROM best), ch AS (SELECT DISTINCT r, c FROM best),
 full_ AS (
   SELECT tg.r, tg.t, ch.c, best.s, rank() OVER (PARTITION BY tg.r, ch.c ORDER BY best.s NULLS FIRST) AS lo,
