@@ -97,7 +97,7 @@ raw AS (
 )
 
 RANKED = """
-ri AS (SELECT DISTINCT request_id, target, target_type, score, reason, ord FROM ranked_items WHERE score IS NOT NULL AND isfinite(score) AND target IS NOT NULL AND request_id IS NOT NULL)
+ri AS (SELECT DISTINCT request_id, target, target_type, score, reason, ord FROM ranked_items WHERE score IS NOT NULL AND CAST(score AS VARCHAR) NOT IN ('nan', 'inf', '-inf') AND target IS NOT NULL AND request_id IS NOT NULL)
 """
 _CALIB = " ".join(f"WHEN '{k}' THEN 1 / (1 + exp(-(0.2 + 2.0 * least(1, greatest(0, (score - {lo}) / ({hi} - {lo}))))))" for k, (_, lo, hi) in CALIBRATION.items())
 _FAMILY = " ".join(f"WHEN '{k}' THEN '{f}'" for k, (f, _, _) in CALIBRATION.items())
