@@ -47,7 +47,7 @@ def log_odds_profile(s: SparkSession, sf: str) -> DataFrame:
 
 def shared_key_edges(s: SparkSession, sf: str) -> DataFrame:
     i = table(s, sf, "ci_imports").where("resolution = 'internal'").select("from_file_id", "to_file_id")
-    return mining.shared_key_edges(i, "from_file_id", "to_file_id", cap=20).select("src", "dst", "n", _r("weight"))
+    return mining.shared_key_edges(i, "from_file_id", "to_file_id").select("src", "dst", "n", _r("weight"))
 
 
 # -- lexical
