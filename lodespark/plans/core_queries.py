@@ -209,8 +209,7 @@ def _order_edges(s: SparkSession, sf: str) -> DataFrame:
     from pyspark.sql import Window
 
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    rows = table(s, sf, "lineitem").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst"), "l_quantity")
-    return graph.simple_edges(rows.where("l_quantity >= 49"))
+    return graph.simple_edges(table(s, sf, "lineitem").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst")))
 
 
 def import_coverage(s: SparkSession, sf: str) -> DataFrame:

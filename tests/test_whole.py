@@ -7,7 +7,7 @@ from itertools import combinations
 import duckdb
 import pytest
 
-from lodespark.operators import mining
+from lodespark.operators import graph, mining
 from lodespark.plans import catalog
 
 
@@ -47,3 +47,78 @@ def test_shared_key_edges_query_takes_every_key(spark, sf):
     sf = sf.replace("sf0.001", "sf0.01")
     rows = [r[:2] for r in rows_of(sf, "ci_imports", "from_file_id, to_file_id, resolution") if r[2] == "internal"]
     same_edges(catalog.core_queries()["shared_key_edges"](spark, sf), shared(rows))
+
+
+def tarjan(edges):
+    """node -> smallest node of its strong component."""
+    out = defaultdict(list)
+    for a, b in edges:
+        out[a].append(b)
+    index, low, stack, on, comp = {}, {}, [], set(), {}
+    for root in {x for e in edges for x in e}:
+        if root in index:
+            continue
+        work = [(root, iter(out[root]))]
+        index[root] = low[root] = len(index)
+        stack.append(root)
+        on.add(root)
+        while work:
+            v, rest = work[-1]
+            for w in rest:
+                if w not in index:
+                    index[w] = low[w] = len(index)
+                    stack.append(w)
+                    on.add(w)
+                    work.append((w, iter(out[w])))
+                    break
+                if w in on:
+                    low[v] = min(low[v], index[w])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[v])
+                if low[v] == index[v]:
+                    members = stack[stack.index(v) :]
+                    del stack[-len(members) :]
+                    on -= set(members)
+                    comp |= {m: min(members) for m in members}
+    return comp
+
+
+def longest_paths(edges, comp):
+    """component -> longest path from a source."""
+    up = defaultdict(set)
+    for a, b in edges:
+        if comp[a] != comp[b]:
+            up[comp[b]].add(comp[a])
+    layer = dict.fromkeys(comp.values(), 0)
+    changed = True
+    while changed:
+        changed = False
+        for c, before in up.items():
+            new = max(layer[b] + 1 for b in before)
+            changed, layer[c] = changed or new != layer[c], new
+    return layer
+
+
+def order_edges(sf):
+    orders = defaultdict(list)
+    for o, *line in rows_of(sf, "lineitem", "l_orderkey, l_linenumber, l_partkey, l_suppkey"):
+        orders[o].append(line)
+    return {(a[1], b[1]) for x in orders.values() for a, b in zip(sorted(x), sorted(x)[1:]) if a[1] != b[1]}
+
+
+def test_strong_components_of_a_giant_component(spark):
+    edges = [(i, (i * 7 + 3) % 40) for i in range(40)] + [(i, (i + 1) % 40) for i in range(40)] + [(50, 51), (51, 50), (51, 3), (7, 60), (60, 61), (61, 62), (62, 60)]
+    edges = [e for e in edges if e[0] != e[1]]
+    e = spark.createDataFrame(edges, "src bigint, dst bigint")
+    comp = graph.strong_components(e)
+    assert {r[0]: r[1] for r in comp.collect()} == tarjan(edges)
+    assert {r["component"]: r["layer"] for r in graph.layers(e, comp).collect()} == longest_paths(edges, tarjan(edges))
+
+
+def test_order_graph_queries_take_every_line(spark, sf):
+    edges = order_edges(sf)
+    comp = tarjan(edges)
+    assert {r["node"]: r["component"] for r in catalog.core_queries()["strong_components"](spark, sf).collect()} == comp
+    assert {r["component"]: r["layer"] for r in catalog.core_queries()["condensation_layers"](spark, sf).collect()} == longest_paths(edges, comp)
