@@ -146,8 +146,8 @@ def cooccurrence_boost(s: SparkSession, sf: str) -> DataFrame:
 
 
 def dismissal_penalty(s: SparkSession, sf: str) -> DataFrame:
-    sessions = table(s, sf, "events").where("user_id % 3 = 0").select(F.col("user_id").alias("session"))
-    return behaviour.dismissal_penalty(_events(s, sf), sessions).select("target", "dismissals", _r("penalty"))
+    events = _events(s, sf)
+    return behaviour.dismissal_penalty(events, events.select("session")).select("target", "dismissals", _r("penalty"))
 
 
 def last_writer_wins(s: SparkSession, sf: str) -> DataFrame:

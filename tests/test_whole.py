@@ -1,5 +1,6 @@
 """Queries over their whole tables against brute force in Python."""
 
+import json
 import math
 from collections import defaultdict
 from itertools import combinations
@@ -122,3 +123,14 @@ def test_order_graph_queries_take_every_line(spark, sf):
     comp = tarjan(edges)
     assert {r["node"]: r["component"] for r in catalog.core_queries()["strong_components"](spark, sf).collect()} == comp
     assert {r["component"]: r["layer"] for r in catalog.core_queries()["condensation_layers"](spark, sf).collect()} == longest_paths(edges, comp)
+
+
+def test_dismissal_penalty_counts_every_session(spark, sf):
+    seen = defaultdict(set)
+    for user, kind, props in rows_of(sf, "events", "user_id, event_type, props"):
+        target = json.loads(props).get("k") if props else None
+        if user is not None and target is not None and kind not in ("view", "click", "purchase", "signup"):
+            seen[str(target)].add(user)
+    assert any(u % 3 for users in seen.values() for u in users)
+    got = {r["target"]: (r["dismissals"], r["penalty"]) for r in catalog.core_queries()["dismissal_penalty"](spark, sf).collect()}
+    assert got == {t: (len(u), 1.5 * min(len(u), 3) / 3) for t, u in seen.items()}
