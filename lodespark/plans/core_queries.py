@@ -227,7 +227,7 @@ def blast_radius(s: SparkSession, sf: str) -> DataFrame:
 
 
 def pagerank(s: SparkSession, sf: str) -> DataFrame:
-    return graph.pagerank(_edges(s, sf), rounds=8, tolerance=0.0).select("node", _r("rank", 9))
+    return graph.pagerank(_edges(s, sf)).select("node", _r("rank", 9))
 
 
 def personalised_walk(s: SparkSession, sf: str) -> DataFrame:

@@ -134,3 +134,29 @@ def test_dismissal_penalty_counts_every_session(spark, sf):
     assert any(u % 3 for users in seen.values() for u in users)
     got = {r["target"]: (r["dismissals"], r["penalty"]) for r in catalog.core_queries()["dismissal_penalty"](spark, sf).collect()}
     assert got == {t: (len(u), 1.5 * min(len(u), 3) / 3) for t, u in seen.items()}
+
+
+def import_edges(sf):
+    rows = rows_of(sf, "ci_imports", "from_file_id, to_file_id, resolution")
+    return {(a, b) for a, b, r in rows if r == "internal" and a is not None and b is not None and a != b}
+
+
+def test_pagerank_query_iterates_until_it_converges(spark, sf):
+    edges = import_edges(sf)
+    out = defaultdict(list)
+    for a, b in edges:
+        out[a].append(b)
+    nodes = {x for e in edges for x in e}
+    rank = dict.fromkeys(nodes, 1 / len(nodes))
+    for _ in range(40):
+        loose = sum(rank[v] for v in nodes if v not in out)
+        new = dict.fromkeys(nodes, 0.15 / len(nodes) + 0.85 * loose / len(nodes))
+        for a in out:
+            for b in out[a]:
+                new[b] += 0.85 * rank[a] / len(out[a])
+        moved, rank = sum(abs(new[v] - rank[v]) for v in nodes), new
+        if moved < 1e-9:
+            break
+    got = {r["node"]: r["rank"] for r in catalog.core_queries()["pagerank"](spark, sf).collect()}
+    assert got.keys() == rank.keys()
+    assert max(abs(got[v] - rank[v]) for v in nodes) < 3e-9
