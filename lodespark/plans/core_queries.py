@@ -250,7 +250,7 @@ def condensation_layers(s: SparkSession, sf: str) -> DataFrame:
 
 
 def label_communities(s: SparkSession, sf: str) -> DataFrame:
-    return graph.label_propagation(_edges(s, sf), 5)
+    return graph.label_propagation(_edges(s, sf))
 
 
 def modularity(s: SparkSession, sf: str) -> DataFrame:

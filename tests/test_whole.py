@@ -160,3 +160,18 @@ def test_pagerank_query_iterates_until_it_converges(spark, sf):
     got = {r["node"]: r["rank"] for r in catalog.core_queries()["pagerank"](spark, sf).collect()}
     assert got.keys() == rank.keys()
     assert max(abs(got[v] - rank[v]) for v in nodes) < 3e-9
+
+
+def test_label_communities_query_runs_all_rounds(spark, sf):
+    sf = sf.replace("sf0.001", "sf0.01")
+    near = defaultdict(set)
+    for a, b in import_edges(sf):
+        near[a].add(b)
+        near[b].add(a)
+    label = {v: v for v in near}
+    for _ in range(20):
+        votes = {v: [label[w] for w in near[v]] for v in near}
+        old, label = label, {v: min(x, key=lambda c: (-x.count(c), c)) for v, x in votes.items()}
+        if label == old:
+            break
+    assert {r["node"]: r["label"] for r in catalog.core_queries()["label_communities"](spark, sf).collect()} == label
