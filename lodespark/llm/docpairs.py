@@ -1,7 +1,7 @@
 """Functions paired with their documentation.
 
 Documentation that says nothing is recognised from its content alone; where a method has none of its own
-or only asks to inherit it, class hierarchies parsed from the sources are climbed, one level a round,
+that says anything, class hierarchies parsed from the sources are climbed, one level a round,
 until a documented method that it overrides is found.
 """
 
@@ -100,24 +100,23 @@ def tells_something(doc: Column, name: Column) -> Column:
     return F.coalesce(doc.isNotNull() & (said != "") & ~stands_in & ~(same & (own != "")), F.lit(False))
 
 
-def asks_to_inherit(doc: Column) -> Column:
-    """Whether documentation is nothing but a request to inherit it; false for null."""
-    return F.coalesce(F.lower(plain_doc(doc)).rlike(r"^\{?@?inherit-?docs?\}?\.?$"), F.lit(False))
-
-
 def class_bases(files: DataFrame) -> DataFrame:
     """Class hierarchies of the sources: ``repo``, ``cls``, ``base``, one row per edge.
 
     ``files``: file_id, path, body. Reads ``class A extends B implements C``, ``class A(B, C):``,
     ``class A : public B`` and ``impl Trait for A``. Names are taken without type parameters and
-    qualifiers and hold within a repository (the first segment of the path).
+    qualifiers and hold within a repository (the first segment of the path). Headers may span lines up to
+    their opening brace.
     """
     body = F.regexp_replace(F.col("body"), r"(?s)/\*.*?\*/|(?m)(?<!:)//[^\n]*$", " ")
     name, many = r"([A-Za-z_$][\w$]*)", r"([A-Za-z_$][\w$.:<>\[\], \t]*)"
+    over = "[^{};:=\"'#]*?"  # the rest of a header, over lines
     found = []
     for pattern, cls, base in (
         (rf"\b(?:class|interface)\s+{name}(?:<[^>]*>)?[^{{;\n]*?\bextends\s+{many}", 1, 2),
         (rf"\b(?:class|record|enum)\s+{name}(?:<[^>]*>)?[^{{;\n]*?\bimplements\s+{many}", 1, 2),
+        (rf"\b(?:class|interface)\s+{name}(?:<[^>]*>)?{over}\bextends\s+({over})\{{", 1, 2),
+        (rf"\b(?:class|record|enum)\s+{name}(?:<[^>]*>)?{over}\bimplements\s+({over})\{{", 1, 2),
         (rf"(?m)^\s*class\s+{name}\s*\(([^)]*)\)\s*:", 1, 2),
         (rf"\b(?:class|struct)\s+{name}\s*(?:final\s*)?:\s*((?:public|protected|private|virtual)\s[^{{;]*)\{{", 1, 2),
         (rf"\bimpl(?:<[^>]*>)?\s+{name}(?:<[^>]*>)?\s+for\s+{name}", 2, 1),
@@ -158,8 +157,7 @@ def inherited(symbols: DataFrame, files: DataFrame, rounds: int = 64) -> DataFra
     given = s.where(own).groupBy("repo", "cls", "name").agg(F.min(F.struct(F.col("id").alias("doc_from"), plain_doc(F.col("docstring")).alias("doc"))).alias("d"))
     given = cut(given.select(F.col("repo"), F.col("cls").alias("base"), "name", "d.*"))
     edges = cut(class_bases(files))
-    blank = F.coalesce(F.trim("docstring"), F.lit("")) == ""
-    open_ = cut(s.where(~own & (asks_to_inherit(F.col("docstring")) | blank)).join(edges.select("repo", "cls").distinct(), ["repo", "cls"], "left_semi").select("id", "repo", "name", "cls", F.array("cls").alias("seen")))
+    open_ = cut(s.where(~own).join(edges.select("repo", "cls").distinct(), ["repo", "cls"], "left_semi").select("id", "repo", "name", "cls", F.array("cls").alias("seen")))
     done = None
     for _ in range(rounds):
         if open_.isEmpty():

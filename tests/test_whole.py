@@ -8,6 +8,7 @@ from itertools import combinations
 import duckdb
 import pytest
 
+from lodespark.llm import docpairs
 from lodespark.operators import graph, mining
 from lodespark.plans import catalog
 
@@ -175,3 +176,14 @@ def test_label_communities_query_runs_all_rounds(spark, sf):
         if label == old:
             break
     assert {r["node"]: r["label"] for r in catalog.core_queries()["label_communities"](spark, sf).collect()} == label
+
+
+def test_pairs_inherit_where_own_text_tells_nothing(spark):
+    body = "class A {\n void run() {}\n}\nclass B<T>\n    extends A\n    implements I,\n      J\n{\n void run() {}\n void go() {}\n}\ninterface J {\n void go();\n}\nclass C extends A {\n"
+    own = ["/** */", "{@inheritDoc}\n@param a", "@param a\n@return b", "TODO", None, "  "]
+    rows = [(1, "A.run", 2, "Runs it."), (2, "J.go", 13, "Goes on."), (3, "B.go", 10, "/** */"), *[(10 + i, "B.run" if i % 2 else "C.run", 9, d) for i, d in enumerate(own)]]
+    symbols = spark.createDataFrame([(i, 1, "method", q.split(".")[1], q, n, n, d) for i, q, n, d in rows], "id bigint, file_id bigint, kind string, name string, qualname string, line_start int, line_end int, docstring string")
+    files = spark.createDataFrame([(1, "r/A.java", body)], "file_id bigint, path string, body string")
+    got = {r["symbol_id"]: r["doc_from"] for r in docpairs.pairs(symbols, files).collect()}
+    assert got == {1: 1, 2: 2, 3: 2} | {10 + i: 1 for i in range(len(own))}
+    assert {(r["cls"], r["base"]) for r in docpairs.class_bases(files).collect()} == {("B", "A"), ("B", "I"), ("B", "J"), ("C", "A")}
