@@ -1,7 +1,7 @@
 """Evaluation texts leaking into training text: size-partitioned MinHash containment search.
 
-Every evaluation item is cut into all its windows of ``PASSAGE`` words (an item shorter than that is one
-window), every document into overlapping windows that hold any such passage whole. The shingle sets of the
+Every evaluation item is cut into all its windows of ``PASSAGE`` words (items shorter than that are
+looked up by their words instead), every document into overlapping windows that hold any such passage whole. The shingle sets of the
 document windows are partitioned by size; in each partition the containment that a passage with the
 allowed changes still has is turned into a Jaccard similarity at the partition's largest size, from which
 the number of MinHash bands follows. Document windows that share a band with an item window are candidates;
@@ -121,11 +121,17 @@ class Items:
         self.plan = plan()
         self.bands = max(b for _, _, b in self.plan)
         self.salts = _mix(np.arange(1, self.bands + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-        self.words: list[tuple[int, list[str]]] = [(i, w) for i, t in items if len(w := words_of(t)) >= SHINGLE]
+        self.words: list[tuple[int, list[str]]] = [(i, w) for i, t in items if (w := words_of(t))]
+        #: items shorter than a passage by words that a document with them holds: the first, or those of one of two halves
+        self.short: dict[tuple[str, ...], list[int]] = {}
         keys, which = [], []
         for k, (_, w) in enumerate(self.words):
+            if len(w) < PASSAGE:  # at most one edit, which leaves one half as it is
+                for a in {0, len(w) // 2 if len(w) >= EDIT_IN else 0}:
+                    self.short.setdefault(tuple(w[a : a + SHINGLE]), []).append(k)
+                continue
             s = shingles(w, {})
-            q = min(len(s), PASSAGE - SHINGLE + 1)
+            q = PASSAGE - SHINGLE + 1
             m = np.lib.stride_tricks.sliding_window_view(self.hashed(s), q, axis=1).min(2)  # bands x windows
             for band in range(self.bands):
                 u = np.unique(m[band])
@@ -144,6 +150,14 @@ class Items:
         with np.errstate(over="ignore"):
             return _mix(s[None, :] ^ self.salts[:, None])
 
+    def short_candidates(self, words: list[str]) -> set[int]:
+        """Items shorter than a passage that a document's words may hold; none that they hold is missing."""
+        found: set[int] = set()
+        for n in {len(x) for x in self.short}:
+            for x in self.short.keys() & set(zip(*(words[j:] for j in range(n)))):
+                found.update(self.short[x])
+        return found
+
     def candidates(self, s: np.ndarray) -> set[int]:
         """Items that share a band with a window of a document's shingles ``s``."""
         found: set[int] = set()
@@ -190,7 +204,8 @@ def longest_passage(item: list[str], at: dict[str, list[int]], doc: list[str], n
     """Words of the longest run of ``item`` in ``doc`` with at most one word in EDIT_IN changed or added.
 
     Stops at ``need``. Runs of equal words on one diagonal are chained to later runs on the same diagonal (changed words
-    between) or on a later one (added words between); a chain begins and ends with two equal words.
+    between) or on a later one (added words between). A single equal word counts where it is close enough to a
+    run of two to be in a chain with it.
     """
     by: dict[int, list[int]] = {}
     for j, w in enumerate(doc):
@@ -205,12 +220,18 @@ def longest_passage(item: list[str], at: dict[str, list[int]], doc: list[str], n
                 first = i
             prev = i
         runs.append((first, prev, d))
-    runs = [r for r in runs if r[1] - r[0] >= 1 or len(item) < 4]
+    most = max(1, need // EDIT_IN + 1)
+    if len(item) >= 4:
+        near = set()  # item word, diagonal; between a run and the last of a chain there are `most` edits and single words
+        for a, b, d in runs:
+            if b > a:
+                for i in (*range(a - 2 * most - 1, a), *range(b + 1, b + 2 * most + 2)):
+                    near.update((i, d + k) for k in range(-most, most + 1))
+        runs = [r for r in runs if r[1] > r[0] or (r[0], r[2]) in near]
     best = max((r[1] - r[0] + 1 for r in runs), default=0)
     if best >= need:
         return best
     runs.sort(key=lambda r: (r[1], r[2]))
-    most = max(1, need // EDIT_IN + 1)
     # chains[k]: best (smallest) start for each number of edits, of chains that end with run k
     chains: list[dict[int, int]] = []
     for k, (a, b, d) in enumerate(runs):
@@ -240,7 +261,7 @@ def longest_passage(item: list[str], at: dict[str, list[int]], doc: list[str], n
 def leaks(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, prompt_col: str) -> DataFrame:
     """``id_col``, ``item_col``: documents that hold an item, or PASSAGE consecutive words of it.
 
-    Items shorter than PASSAGE words must be there whole. Null, empty and wordless texts hold nothing and
+    Items shorter than PASSAGE words must be there whole, with the same share of edits. Null, empty and wordless texts hold nothing and
     are held nowhere; repeated items and documents count once; null ids are skipped. Items are taken to
     the driver in blocks of BLOCK windows (a stated query set), documents are read once per block.
     """
@@ -269,7 +290,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_co
                 a, b = [], []
                 for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     words = words_of(text)
-                    for k in index.candidates(shingles(words, known)):
+                    for k in index.candidates(shingles(words, known)) | index.short_candidates(words):
                         item, own = index.words[k]
                         need = min(PASSAGE, len(own))
                         if longest_passage(own, index.at[k], words, need) >= need:
