@@ -78,33 +78,36 @@ def bm25_rank(s: SparkSession, sf: str) -> DataFrame:
 
 
 # -- vectors
-def _query_vector(s: SparkSession, sf: str) -> list[float]:
-    return table(s, sf, "embeddings").where("vec_id = 7").select("embedding").first()[0]
+def _asked(s: SparkSession, sf: str) -> DataFrame:
+    """The searches: every row whose id is divisible by 20."""
+    return table(s, sf, "embeddings").where("vec_id % 20 = 0")
 
 
 def _sims(s: SparkSession, sf: str) -> DataFrame:
-    return similarity.similarities(table(s, sf, "embeddings"), "vec_id", "embedding", _query_vector(s, sf))
+    return similarity.similarities(table(s, sf, "embeddings"), "vec_id", "embedding", _asked(s, sf))
 
 
 def cosine_topk(s: SparkSession, sf: str) -> DataFrame:
-    return similarity.top_similar(table(s, sf, "embeddings"), "vec_id", "embedding", _query_vector(s, sf), 10).select("id", _r("sim"))
+    return similarity.top_similar(table(s, sf, "embeddings"), "vec_id", "embedding", _asked(s, sf), 10).select("query", "id", _r("sim"))
 
 
 def fuzzy_scores(s: SparkSession, sf: str) -> DataFrame:
-    return similarity.fuzzy_scores(_sims(s, sf), threshold=0.1).select("id", _r("score"))
+    return similarity.fuzzy_scores(_sims(s, sf), threshold=0.1).select("query", "id", _r("score"))
 
 
 def adaptive_threshold(s: SparkSession, sf: str) -> DataFrame:
-    return similarity.adaptive_threshold(_sims(s, sf), 0.45).select(_r("threshold"))
+    return similarity.adaptive_threshold(_sims(s, sf), 0.45).select("query", _r("threshold"))
 
 
 def rank_fusion(s: SparkSession, sf: str) -> DataFrame:
+    """Two whole lists a query: all rows by similarity, and the rows of its own label by id."""
     from pyspark.sql import Window
 
-    a = _sims(s, sf).withColumn("rank", F.row_number().over(Window.orderBy(F.col("sim").desc(), "id"))).where("rank <= 50")
-    b = table(s, sf, "embeddings").where("label = 3").select(F.col("vec_id").alias("id")).withColumn("rank", F.row_number().over(Window.orderBy("id"))).where("rank <= 50")
-    lists = a.select("id", "rank").unionByName(b.select("id", "rank"))
-    return ranking.reciprocal_rank_fusion(lists).select("id", _r("score", 8))
+    a = _sims(s, sf).withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.col("sim").desc(), "id")))
+    labels = table(s, sf, "embeddings").select(F.col("vec_id").alias("id"), "label").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("id")))
+    b = labels.join(_asked(s, sf).select(F.col("vec_id").alias("query"), "label").distinct(), "label")
+    lists = a.select("query", "id", "rank").unionByName(b.select("query", "id", "rank"))
+    return ranking.reciprocal_rank_fusion(lists).select("query", "id", _r("score", 8))
 
 
 # -- behaviour
@@ -194,7 +197,7 @@ def symbol_affinity(s: SparkSession, sf: str) -> DataFrame:
 
 def import_affinity(s: SparkSession, sf: str) -> DataFrame:
     e = _edges(s, sf)
-    anchors = e.select(F.col("dst").alias("node")).where("node between 1 and 99").distinct().withColumn("score", 1.2 + F.col("node") / 100)
+    anchors = e.select(F.col("dst").alias("node")).where("node % 20 = 0").distinct().withColumn("score", 1.2 + F.col("node") / 100)
     return ranking.import_affinity(anchors, e, graph.degrees(e)).select("node", _r("boost"))
 
 
@@ -222,7 +225,7 @@ def import_degrees(s: SparkSession, sf: str) -> DataFrame:
 
 def blast_radius(s: SparkSession, sf: str) -> DataFrame:
     e = _edges(s, sf)
-    starts = e.select(F.col("dst").alias("node")).where("node between 1 and 20")
+    starts = e.select(F.col("dst").alias("node")).where("node % 20 = 0")
     return graph.reach(e, starts, 3, reverse=True).select("node", F.col("hop").cast("bigint").alias("hop"))
 
 
@@ -232,7 +235,7 @@ def pagerank(s: SparkSession, sf: str) -> DataFrame:
 
 def personalised_walk(s: SparkSession, sf: str) -> DataFrame:
     e = _edges(s, sf).withColumn("weight", F.lit(1.0))
-    anchors = e.select(F.col("dst").alias("node")).where("node between 1 and 20").distinct().withColumn("weight", 1.0 + F.col("node") % 3)
+    anchors = e.select(F.col("dst").alias("node")).where("node % 20 = 0").distinct().withColumn("weight", 1.0 + F.col("node") % 3)
     return graph.walk_with_restart(e, anchors).select("node", _r("score", 8))
 
 

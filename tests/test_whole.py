@@ -6,6 +6,7 @@ from collections import defaultdict
 from itertools import combinations
 
 import duckdb
+import numpy as np
 import pytest
 
 from lodespark.llm import docpairs, leakage
@@ -213,3 +214,43 @@ def test_leaks_find_short_items(spark):
     ev = spark.createDataFrame([(k, " ".join(x)) for k, x in items.items()], "item_id bigint, prompt string")
     got = {tuple(r) for r in leakage.leaks(df, ev, "doc_id", "text", "item_id", "prompt").collect()}
     assert got == {(1, 1), (2, 2), (4, 3), (5, 4), (6, 4), (8, 5), (10, 4)}
+
+
+def test_vector_queries_answer_every_search(spark, sf):
+    rows = rows_of(sf, "embeddings", "vec_id, embedding, label")
+    x = np.array([r[1] for r in rows], float)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    sims = {r[0]: dict(zip([y[0] for y in rows], x @ x[i])) for i, r in enumerate(rows) if r[0] % 20 == 0}
+    order = {q: sorted(s, key=lambda i, s=s: (-s[i], i)) for q, s in sims.items()}
+    label = {r[0]: r[2] for r in rows}
+    q = catalog.core_queries()
+
+    def got(name, value):
+        return {(r["query"], r["id"]): r[value] for r in q[name](spark, sf).collect()}
+
+    assert got("cosine_topk", "sim") == pytest.approx({(a, i): sims[a][i] for a in sims for i in order[a][:10]}, abs=2e-6)
+    assert got("fuzzy_scores", "score") == pytest.approx({(a, i): (min(1, v) - 0.1) * 5 for a in sims for i, v in sims[a].items() if min(1, v) >= 0.1}, abs=1e-5)
+    values = {a: np.array(list(s.values())) for a, s in sims.items()}
+    assert {r["query"]: r["threshold"] for r in q["adaptive_threshold"](spark, sf).collect()} == pytest.approx({a: min(0.45, max(0.22, v.mean() + 1.5 * v.std())) for a, v in values.items()}, abs=2e-6)
+    want = {(a, i): 1 / (61 + k) for a in sims for k, i in enumerate(order[a])}
+    for a in sims:
+        for k, i in enumerate(sorted(i for i in label if label[i] == label[a])):
+            want[a, i] += 1 / (61 + k)
+    assert got("rank_fusion", "score") == pytest.approx(want, abs=2e-8)
+
+
+def test_seeds_grow_with_the_data(spark, sf):
+    sf = sf.replace("sf0.001", "sf0.01")
+    edges = import_edges(sf)
+    back, q = defaultdict(set), catalog.core_queries()
+    for a, b in edges:
+        back[b].add(a)
+    hop = {b: 0 for _, b in edges if b % 20 == 0}
+    assert max(hop) > 99
+    for n in range(1, 4):
+        hop |= {a: n for b in [b for b, h in hop.items() if h == n - 1] for a in back[b] if a not in hop}
+    assert {r["node"]: r["hop"] for r in q["blast_radius"](spark, sf).collect()} == hop
+    seeds = {b for _, b in edges if b % 20 == 0}
+    near = {b for a, b in edges if a in seeds} | {a for a, b in edges if b in seeds}
+    assert {r["node"] for r in q["import_affinity"](spark, sf).collect()} == near
+    assert seeds <= {r["node"] for r in q["personalised_walk"](spark, sf).collect()}
