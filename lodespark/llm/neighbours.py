@@ -1,33 +1,36 @@
 """Most similar vectors of every vector with a permutation index.
 
-A bounded sample of the vectors serves as pivots. Every vector is represented by its PREFIX nearest
-pivots in order and posted in the inverted files of pairs of its first KEYS pivots. Vectors that
-meet in a file are ranked by the footrule distance of their prefixes; those near enough are reranked by
-the cosine of one-byte sketches, and what is left by the exact cosine. Files larger than BLOCK are cut into chunks and every pair of chunks becomes a task
-of its own, so one file with a third of all vectors is neither dropped nor gathered in one task. Exact
-copies are one vector of the index.
+Pivots are vectors of the collection. Every vector is posted in the inverted files of its nearest pivots. A
+file with more than LEAF members is indexed again with pivots from its own members, so dense regions,
+which distant pivots can't order, get local ones. Inside a file every vector is represented by the order in
+which it sees LOCAL pivots of that file; its members are ranked by the footrule distance of these orders,
+and the best ``spread * k`` of each vector are reranked by the exact cosine. A file thus tells at most k pairs a member,
+whatever its density. Files that no pivots can part are cut into chunks, and each pair of chunks becomes a
+task of its own. Exact copies are one vector of the index.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodespark.session import cut, saved
+from lodespark.session import saved
 
-#: Pivots of a vector that are kept, and those among them whose pairs name the inverted files.
-PREFIX, KEYS = 16, 5
-#: Members of a file that one task compares, and pairs that are compared at once.
-BLOCK, PAIRS = 2048, 50_000
-#: Most pivots; each is one vector sent to every executor.
-MOST_PIVOTS = 8192
-#: The pairs that are posted: those of low ranks together.
-PAIRS_OF = tuple((i, j) for i, j in combinations(range(KEYS), 2) if i + j <= KEYS)
+#: Members of a file on average, most members of a file that one task compares, and levels of the index.
+FILE, LEAF, LEVELS = 1024, 4096, 6
+#: Most pivots of the first level; each is one vector sent to every executor.
+MOST_PIVOTS = 2048
+#: Members of a large file that one task posts anew.
+POSTED_AT_ONCE = 1 << 16
+#: Pivots of a file that order its members, and the shares of them at which ranks are told apart.
+LOCAL, STEPS = 256, (0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875)
+#: Rows of a file that are compared with the whole file at once.
+ROWS = 256
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str, dim: int) -> DataFrame:
@@ -50,11 +53,11 @@ def _binary(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
 
 
-def _rows(column: pa.Array, dtype, width: int) -> np.ndarray:
+def _rows(column: pa.Array, dim: int) -> np.ndarray:
     at = column.offset
     offsets = np.frombuffer(column.buffers()[1], np.int32)[at : at + len(column) + 1]
     data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if len(column) else np.empty(0, np.uint8)
-    return data.view(dtype).reshape(len(column), width)
+    return data.view(np.float32).reshape(len(column), dim)
 
 
 def _slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
@@ -62,6 +65,13 @@ def _slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
         yield batch.slice(i, rows)
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x.astype(np.uint64) ^ np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(32))
+
+
 def _normalised(dim: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -76,159 +86,202 @@ def _normalised(dim: int):
     return run
 
 
-def prefixes(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """The nearest pivots of every row, nearest first; ties go to the lower pivot."""
-    s = x @ pivots.T
-    n = min(PREFIX, len(pivots))
-    near = np.argpartition(-s, n - 1, axis=1)[:, :n] if n < len(pivots) else np.tile(np.arange(n), (len(x), 1))
-    near = np.sort(near, axis=1)
-    order = np.argsort(-np.take_along_axis(s, near, 1), axis=1, kind="stable")
-    out = np.full((len(x), PREFIX), 65535, np.uint16)
-    out[:, :n] = np.take_along_axis(near, order, 1)
-    return out
-
+def nearest_pivots(x: np.ndarray, pivots: np.ndarray, posts: int) -> np.ndarray:
+    """The ``posts`` nearest pivots of every row, in no order; all pivots if there are no more."""
+    if posts >= len(pivots):
+        return np.tile(np.arange(len(pivots)), (len(x), 1))
+    return np.argpartition(-(x @ pivots.T), posts - 1, axis=1)[:, :posts]
 
-def closeness(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """PREFIX (PREFIX + 1) / 2 minus half the footrule distance of ordered prefixes, row by row.
-
-    A pivot outside a prefix counts as standing right behind it. Twice the minimum of the two ranks from
-    the end, summed over common pivots, is what the footrule distance falls short of its maximum.
-    """
-    weight = np.arange(PREFIX, 0, -1)
-    w = np.minimum(weight[:, None], weight[None, :]).astype(np.float32).ravel()
-    same = (p[:, :, None] == q[:, None, :]) & (p != 65535)[:, :, None]
-    return same.reshape(len(p), -1).astype(np.float32) @ w
 
+def _posted(ids: pa.Array, x: np.ndarray, group: int, pivots: np.ndarray, posts: int, with_vector: bool) -> pa.RecordBatch:
+    near = nearest_pivots(x, pivots, posts)
+    file = (_mixed(near.astype(np.uint64)) ^ _mixed(np.array([group], np.int64).view(np.uint64))).view(np.int64)
+    columns = [pa.array(file.ravel()), pa.array(np.repeat(ids.to_numpy(), near.shape[1]))]
+    if with_vector:
+        columns.append(_binary(np.repeat(x, near.shape[1], axis=0)))
+    return pa.RecordBatch.from_arrays(columns, names=["file", "id", "vec"][: len(columns)])
 
-def files_of(p: np.ndarray) -> np.ndarray:
-    """The inverted files of prefixes, one column per posted pair of ranks; pairs with a missing pivot give -1."""
-    x, y = (p[:, [r[k] for r in PAIRS_OF]].astype(np.int64) for k in (0, 1))
-    return np.where(np.maximum(x, y) == 65535, -1, np.minimum(x, y) * 65536 + np.maximum(x, y))
 
+def _post(dim: int, posts: int, sent, with_vector: bool):
+    """First level: posts every vector in the files of its nearest pivots."""
 
-def _post(dim: int, sent, prefix: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivots = np.frombuffer(sent.value, np.float32).reshape(-1, dim)
         for whole in batches:
             for batch in _slices(whole, 2048):
-                p = prefixes(_rows(batch.column(1), np.float32, dim), pivots)
-                file = files_of(p)
-                there = (file >= 0).ravel()
-                ids = np.repeat(batch.column(0).to_numpy(), len(PAIRS_OF))[there]
-                columns = [pa.array(file.ravel()[there]), pa.array(ids)]
-                if prefix:
-                    x = _rows(batch.column(1), np.float32, dim)
-                    both = np.concatenate([p.view(np.uint8), np.round(x * 127).astype(np.int8).view(np.uint8)], 1)
-                    columns.append(_binary(np.repeat(both, len(PAIRS_OF), axis=0)[there]))
-                yield pa.RecordBatch.from_arrays(columns, names=["file", "id", "prefix"][: len(columns)])
+                yield _posted(batch.column(0), _rows(batch.column(1), dim), 0, pivots, posts, with_vector)
 
     return run
 
 
-def _compare(least: float, dim: int, min_cosine: float):
-    # rounding to 1/127 moves a cosine by at most (|x|_1 + |y|_1) / 254 + dim / 254 ** 2 with |x|_1 <= sqrt(dim)
-    enough = (min_cosine - 2 * np.sqrt(dim) / 254 - dim / 254**2) * 127**2
-
-    def flush(left: list, right: list, at: np.ndarray, ids: np.ndarray, prefix: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
-        i, j = np.concatenate(left), np.concatenate(right)
-        for lo in range(0, len(i), PAIRS):
-            x, y = i[lo : lo + PAIRS], j[lo : lo + PAIRS]
-            good = closeness(prefix[x], prefix[y]) >= least
-            x, y = x[good], y[good]
-            good = np.einsum("ij,ij->i", sketch[x].astype(np.float32), sketch[y].astype(np.float32)) >= enough
-            x, y = x[good], y[good]
-            if not len(x):
-                continue
-            # a pair that meets in several files is told by the lowest of them only
-            p, q = files_of(prefix[x]), files_of(prefix[y])
-            first = np.where(((p[:, :, None] == q[:, None, :]) & (p >= 0)[:, :, None]).any(2), p, np.iinfo(np.int64).max).min(1)
-            tell = first == at[x]
-            x, y = ids[x[tell]], ids[y[tell]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+def _post_again(dim: int, posts: int):
+    """Deeper levels: rows (file, salt, kind, id, vec) sorted so that a file's own pivots (kind 0) precede its members."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-
-        def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            t = t.combine_chunks()
-            file, task, ids = (t.column(c).to_numpy() for c in ("file", "task", "id"))
-            i, j, own = task >> 42, task >> 21 & 0x1FFFFF, task & 0x1FFFFF
-            both = _rows(t.column("prefix").chunk(0), np.uint8, 2 * PREFIX + dim)
-            prefix, sketch = np.ascontiguousarray(both[:, : 2 * PREFIX]).view(np.uint16), both[:, 2 * PREFIX :].view(np.int8)
-            edge = np.flatnonzero((file[1:] != file[:-1]) | ((task[1:] ^ task[:-1]) >> 21 != 0)) + 1
-            starts, ends = np.concatenate([[0], edge]), np.concatenate([edge, [len(file)]])
-            left, right, n = [], [], 0
-            for s, e in zip(starts.tolist(), ends.tolist()):
-                if e - s < 2:
-                    continue
-                if i[s] == j[s]:
-                    for r in range(s, e - 1) if e - s > 512 else [None]:
-                        if r is None:
-                            x, y = np.triu_indices(e - s, 1)
-                            x, y = x + s, y + s
-                        else:
-                            y = np.arange(r + 1, e)
-                            x = np.full(len(y), r)
-                        left.append(x)
-                        right.append(y)
-                        n += len(x)
-                        if n > 4 * PAIRS:
-                            yield from flush(left, right, file, ids, prefix, sketch)
-                            left, right, n = [], [], 0
-                else:
-                    mine, other = s + np.flatnonzero(own[s:e] == i[s]), s + np.flatnonzero(own[s:e] == j[s])
-                    for r in mine:
-                        left.append(np.full(len(other), r))
-                        right.append(other)
-                        n += len(other)
-                        if n > 4 * PAIRS:
-                            yield from flush(left, right, file, ids, prefix, sketch)
-                            left, right, n = [], [], 0
-            if n:
-                yield from flush(left, right, file, ids, prefix, sketch)
-
+        here, pivots = None, []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            t = pa.Table.from_batches([batch])
-            t = t if rest is None else pa.concat_tables([rest, t])
-            file, task = (t.column(c).to_numpy() for c in ("file", "task"))
-            last = np.flatnonzero((file != file[-1]) | ((task ^ task[-1]) >> 21 != 0))
-            cut_at = last[-1] + 1 if len(last) else 0  # the last task may go on in the next batch
-            if cut_at:
-                yield from work(t.slice(0, cut_at))
-            rest = t.slice(cut_at)
-        if rest is not None and rest.num_rows:
-            yield from work(rest)
+            file, salt, kind = (batch.column(i).to_numpy() for i in range(3))
+            edge = np.flatnonzero((file[1:] != file[:-1]) | (salt[1:] != salt[:-1]) | (kind[1:] != kind[:-1])) + 1
+            for s, e in zip([0, *edge.tolist()], [*edge.tolist(), len(file)]):
+                if (file[s], salt[s]) != here:
+                    here, pivots = (file[s], salt[s]), []
+                if kind[s] == 0:
+                    pivots.append(_rows(batch.column(4).slice(s, e - s), dim))
+                    continue
+                for part in _slices(batch.slice(s, e - s), 2048):
+                    if pivots:
+                        yield _posted(part.column(3), _rows(part.column(4), dim), int(file[s]), np.concatenate(pivots), posts, True)
+                    else:
+                        yield pa.RecordBatch.from_arrays([part.column(0), part.column(3), part.column(4)], names=["file", "id", "vec"])
 
     return run
 
 
-def _cosines(dim: int):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in _slices(whole, 20_000):
-                x, y = _rows(batch.column(2), np.float32, dim), _rows(batch.column(3), np.float32, dim)
-                c = np.einsum("ij,ij->i", x.astype(np.float64), y.astype(np.float64))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(c)], names=["a", "b", "cosine"])
+def rank_codes(x: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The order in which every row sees the file's local pivots, as bits: for each of STEPS, which pivots are among its nearest share.
 
-    return run
+    The number of bits in which two codes differ is the footrule distance of the two orders, with ranks told
+    apart in steps of an eighth of the pivots.
+    """
+    n = min(LOCAL, len(x))
+    pivots = x[np.argsort(_mixed(ids), kind="stable")[:n]]
+    s = x @ pivots.T - (pivots * pivots).sum(1) / 2  # by distance: the rows need not be normalised
+    places = [min(n - 1, max(0, n - round(c * n))) for c in STEPS]
+    least = np.partition(s, sorted(set(places)), axis=1)[:, places]
+    bits = np.concatenate([np.packbits(s >= least[:, [i]], axis=1) for i in range(len(places))], 1)
+    return np.concatenate([bits, np.zeros((len(x), -bits.shape[1] % 8), np.uint8)], 1).view(np.uint64)
+
+
+def footrule(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Footrule distances of all rows of ``a`` to all rows of ``b``."""
+    d = np.zeros((len(a), len(b)), np.uint16)
+    for w in range(a.shape[1]):
+        d += np.bitwise_count(a[:, w, None] ^ b[None, :, w])
+    return d
+
+
+def best_in_file(x: np.ndarray, ids: np.ndarray, k: int, spread: int, min_cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, partner, cosine): of the ``spread * k`` nearest of each row by footrule, both ways, the k of the highest cosine."""
+    n, many = len(x), spread * k
+    near = None
+    y = x - x.mean(0)  # of unit vectors 1 - cosine is half the squared distance, which is precise in tight files only without their mean
+    half = (y * y).sum(1) / 2
+    if n - 1 > many:
+        codes = rank_codes(y, ids)
+        near = np.zeros((n, n), bool)
+        for lo in range(0, n, ROWS):
+            d = footrule(codes[lo : lo + ROWS], codes)
+            d[np.arange(len(d)), np.arange(lo, lo + len(d))] = 65535
+            np.put_along_axis(near[lo : lo + ROWS], np.argpartition(d, many - 1, axis=1)[:, :many], True, 1)
+        near |= near.T
+    out = []
+    for lo in range(0, n, ROWS):
+        s = y[lo : lo + ROWS] @ y.T - half - half[lo : lo + ROWS, None]  # cosine - 1
+        if near is not None:
+            s[~near[lo : lo + ROWS]] = -4
+        s[np.arange(len(s)), np.arange(lo, lo + len(s))] = -4
+        top = np.argpartition(-s, k - 1, axis=1)[:, :k] if n - 1 > k else np.tile(np.arange(n), (len(s), 1))
+        good = np.take_along_axis(s, top, 1) >= max(min_cosine - 1e-4, -1.5) - 1
+        out.append((np.repeat(np.arange(lo, lo + len(s)), top.shape[1])[good.ravel()], top[good]))
+    a, b = (np.concatenate([o[i] for o in out]) for i in (0, 1))
+    apart = x[a].astype(np.float64) - x[b]
+    cosine = 1 - np.einsum("ij,ij->i", apart, apart) / 2
+    good = cosine >= min_cosine
+    return a[good], b[good], cosine[good]
+
+
+def _compare(dim: int, k: int, spread: int, min_cosine: float):
+    """The best partners of every member within each file; rows (file, task, id, vec) sorted by file and task."""
+
+    def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        t = t.combine_chunks()
+        file, task, ids = (t.column(c).to_numpy() for c in ("file", "task", "id"))
+        x = _rows(t.column("vec").chunk(0), dim)
+        edge = (np.flatnonzero((file[1:] != file[:-1]) | (task[1:] != task[:-1])) + 1).tolist()
+        for s, e in zip([0, *edge], [*edge, len(file)]):
+            if e - s > 1:
+                a, b, c = best_in_file(x[s:e], ids[s:e], k, spread, min_cosine)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[s + a]), pa.array(ids[s + b]), pa.array(c)], names=["a", "b", "cosine"])
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # of the file that may go on in the next batch
+        here = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            file, task = (batch.column(i).to_numpy() for i in (0, 1))
+            last = np.flatnonzero((file != file[-1]) | (task != task[-1]))
+            begin = int(last[-1]) + 1 if len(last) else 0
+            if begin or here not in (None, (file[0], task[0])):
+                ready = [*held, batch.slice(0, begin)]
+                yield from work(pa.Table.from_batches(ready))
+                held = []
+            held.append(batch.slice(begin))
+            here = (file[-1], task[-1])
+        if held:
+            yield from work(pa.Table.from_batches(held))
 
-def index_size(n: int) -> int:
-    """Pivots for n vectors: they grow with its root, so that the files stay of about one size."""
-    if n < 256:
-        return max(2, n // 4)
-    return int(min(MOST_PIVOTS, 2 ** round(np.log2(4 * np.sqrt(n)))))
+    return run
 
 
-def similar_pairs(df: DataFrame, id_col: str, vec_col: str, dim: int = 64, k: int = 5, min_cosine: float = 0.9, least: float = 60.0) -> DataFrame:
+def _files(reps: DataFrame, n: int, dim: int, posts: int) -> DataFrame:
+    """(file, task, id, vec): the members of all files, none larger than a task can compare."""
+    spark = reps.sparkSession
+    vectors = reps.select("id", "vec")
+    if n <= LEAF:
+        return vectors.select(F.lit(0).cast("bigint").alias("file"), F.lit(0).cast("bigint").alias("task"), "id", "vec")
+    size = min(MOST_PIVOTS, math.ceil(n * posts / FILE))
+    sample = vectors.orderBy(F.xxhash64("id"), "id").limit(size).select("vec").collect()
+    sent = spark.sparkContext.broadcast(b"".join(bytes(r[0]) for r in sample))
+    sizes = vectors.mapInArrow(_post(dim, posts, sent, False), "file bigint, id bigint").groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    rows = vectors.mapInArrow(_post(dim, posts, sent, True), "file bigint, id bigint, vec binary")
+    done = []
+    for level in range(1, LEVELS):
+        large = saved(sizes.where(F.col("n") > LEAF), "large")
+        if large.isEmpty():
+            return _united([*done, rows.withColumn("task", F.lit(0).cast("bigint"))])
+        done.append(rows.join(large, "file", "left_anti").withColumn("task", F.lit(0).cast("bigint")))
+        members = rows.join(large, "file").withColumn("salts", F.ceil(F.col("n") / POSTED_AT_ONCE))
+        # about posts / FILE of the members, MOST_PIVOTS at most in expectation
+        share = F.least(F.lit(posts / FILE), MOST_PIVOTS / F.col("n"))
+        own = members.where(F.pmod(F.xxhash64("id", F.lit(level)), F.lit(1 << 30)) < share * (1 << 30))
+        own = own.select("file", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), "id", "vec")
+        members = members.select("file", F.pmod(F.xxhash64("id", F.lit(0)), F.col("salts")).alias("salt"), F.lit(1).alias("kind"), "id", "vec")
+        both = own.unionByName(members).repartition("file", "salt").sortWithinPartitions("file", "salt", "kind")
+        rows = saved(both.mapInArrow(_post_again(dim, posts), "file bigint, id bigint, vec binary"), f"files{level}")
+        sizes = rows.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    # what no pivots part: every pair of chunks is a task
+    large = saved(sizes.where(F.col("n") > LEAF).select("file", F.ceil(2 * F.col("n") / LEAF).alias("chunks")), "large")
+    if large.isEmpty():
+        return _united([*done, rows.withColumn("task", F.lit(0).cast("bigint"))])
+    done.append(rows.join(large, "file", "left_anti").withColumn("task", F.lit(0).cast("bigint")))
+    cut_up = rows.join(large, "file").withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")))
+    cut_up = cut_up.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
+    done.append(cut_up.select("file", "id", "vec", (F.shiftleft(F.least("own", "other"), 31) + F.greatest("own", "other")).alias("task")))
+    return _united(done)
+
+
+def _united(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select("file", "task", "id", "vec")
+
+
+def posts_for(min_cosine: float) -> int:
+    """Files a vector is posted in: near partners share a nearest pivot more often than distant ones."""
+    return 5 if min_cosine >= 0.8 else 12
+
+
+def similar_pairs(df: DataFrame, id_col: str, vec_col: str, dim: int = 64, k: int = 5, min_cosine: float = 0.9, posts: int | None = None, spread: int = 32) -> DataFrame:
     """Pairs ``id_a`` < ``id_b`` with a cosine of at least ``min_cosine`` of which one is among the ``k`` nearest of the other.
 
-    Ties in similarity go to the smaller id. ``least`` is the footrule closeness (0 to 136) that a pair
-    must reach to be reranked; the index is approximate, every vector is indexed and searched. Copies have
-    cosine 1 and are each other's nearest. Unusable vectors (see :func:`usable`) and empty input give no
-    rows. ids must be integers.
+    Ties in similarity go to the smaller id. ``posts`` inverted files hold each vector (:func:`posts_for`
+    by default), and the nearest ``spread * k`` by footrule in each are reranked; the index is approximate,
+    every vector is indexed and searched. Copies have cosine 1 and are each other's nearest. Unusable
+    vectors (see :func:`usable`) and empty input give no rows. ids must be integers.
     """
     spark = df.sparkSession
     rows = usable(df, id_col, vec_col, dim).mapInArrow(_normalised(dim), "id bigint, key bigint, vec binary")
@@ -240,30 +293,11 @@ def similar_pairs(df: DataFrame, id_col: str, vec_col: str, dim: int = 64, k: in
     if not n:
         return spark.createDataFrame([], "id_a bigint, id_b bigint, cosine double")
     if n > 1:
-        sample = reps.orderBy(F.xxhash64("id"), "id").limit(index_size(n)).select("vec").collect()
-        sent = spark.sparkContext.broadcast(b"".join(bytes(r[0]) for r in sample))
-        sizes = reps.select("id", "vec").mapInArrow(_post(dim, sent, False), "file bigint, id bigint").groupBy("file").agg(F.count(F.lit(1)).alias("n"))
-        large = saved(sizes.where(F.col("n") > BLOCK).select("file", F.ceil(F.col("n") / BLOCK).alias("chunks")), "large")
-        tasks = reps.select("id", "vec").mapInArrow(_post(dim, sent, True), "file bigint, id bigint, prefix binary")
-        if not large.isEmpty():
-            # task: the two chunks that meet and the row's own one, 21 bits each
-            own, other = F.pmod(F.xxhash64("id"), F.col("chunks")), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-            tasks = tasks.join(large, "file", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-            tasks = tasks.withColumn("own", own).withColumn("other", other)
-            packed = F.shiftleft(F.least("own", "other"), 42) + F.shiftleft(F.greatest("own", "other"), 21) + F.col("own")
-        else:
-            packed = F.lit(0).cast("bigint")
-        tasks = tasks.select("file", packed.alias("task"), "id", "prefix")
-        tasks = tasks.repartition(F.col("file"), F.shiftright("task", 21)).sortWithinPartitions("file", "task")
-        near = cut(tasks.mapInArrow(_compare(least, dim, min_cosine), "a bigint, b bigint"))
-        vectors = reps.select("id", "vec")
-        first, second = vectors.alias("first"), vectors.alias("second")
-        pairs = near.join(first, F.col("a") == F.col("first.id")).join(second, F.col("b") == F.col("second.id"))
-        edges = pairs.select("a", "b", F.col("first.vec").alias("va"), F.col("second.vec").alias("vb"))
-        edges = cut(edges.mapInArrow(_cosines(dim), "a bigint, b bigint, cosine double").where(F.col("cosine") >= min_cosine))
+        tasks = _files(reps, n, dim, posts or posts_for(min_cosine)).repartition("file", "task").sortWithinPartitions("file", "task")
+        near = tasks.mapInArrow(_compare(dim, k, spread, min_cosine), "a bigint, b bigint, cosine double")
+        both = near.repartition("a").groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
     else:
-        edges = spark.createDataFrame([], "a bigint, b bigint, cosine double")
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
+        both = spark.createDataFrame([], "a bigint, b bigint, cosine double")
     if copies > 1:
         # of a class of copies the k + 1 smallest ids can be someone's neighbours; each member has its own list
         many = reps.where("copies > 1").select("id")

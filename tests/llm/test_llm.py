@@ -3,6 +3,7 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,14 +106,77 @@ def test_similar_pairs_recall_copies_and_dirt(spark):
     assert neighbours.similar_pairs(df.limit(0), "id", "embedding").count() == 0
 
 
-def test_large_files_are_compared_in_chunks(spark, monkeypatch):
+def brute_neighbours(x, k, least):
+    """(row, partner) of the k nearest of every row."""
+    x = np.asarray(x, np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    out = set()
+    for lo in range(0, len(x), 2000):
+        s = x[lo : lo + 2000] @ x.T
+        s[np.arange(len(s)), np.arange(lo, lo + len(s))] = -2
+        near = np.argpartition(-s, k, axis=1)[:, :k]
+        out |= {(lo + r, int(c)) for r in range(len(s)) for c in near[r] if s[r, c] >= least}
+    return out
+
+
+def vectors_of(spark, x):
+    x = np.asarray(x, np.float32)
+    flat = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, 64), pa.int32()), pa.array(x.ravel()))
+    return spark.createDataFrame(pa.table({"id": pa.array(np.arange(len(x))), "embedding": flat}))
+
+
+def vector_recall(spark, x, k, least, **options):
+    got = neighbours.similar_pairs(vectors_of(spark, x), "id", "embedding", k=k, min_cosine=least, **options).select("id_a", "id_b").collect()
+    want = {(min(p), max(p)) for p in brute_neighbours(x, k, least)}
+    found = {tuple(r) for r in got}
+    return len(found & want) / max(1, len(want)), len(found & want) / max(1, len(found))
+
+
+def test_recall_in_one_dense_cluster(spark):
+    g = np.random.default_rng(1)
+    x = g.normal(size=64) + 0.1 * g.normal(size=(4000, 64))
+    recall, precision = vector_recall(spark, x, 5, 0.9)
+    assert recall >= 0.9 and precision >= 0.9
+
+
+def test_recall_of_planted_pairs_and_of_a_large_dense_cluster_among_random_vectors(spark):
+    g = np.random.default_rng(2)
+    a = g.normal(size=(2000, 64))
+    x = np.concatenate([a, a + 0.4 * g.normal(size=a.shape), g.normal(size=(9000, 64)), g.normal(size=64) + 0.1 * g.normal(size=(6000, 64))])
+    planted = {(i, 2000 + i) for i in range(2000)} & {(min(p), max(p)) for p in brute_neighbours(x, 5, 0.9)}
+    found = {(r[0], r[1]) for r in neighbours.similar_pairs(vectors_of(spark, x), "id", "embedding").collect()}
+    assert len(found & planted) >= 0.97 * len(planted)
+    dense = {(min(p), max(p)) for p in brute_neighbours(x, 5, 0.9) if p[0] >= 13000}
+    assert len(found & dense) >= 0.85 * len(dense)
+
+
+@pytest.mark.parametrize("n", [3000, 9000])
+def test_recall_without_a_threshold(spark, n):
+    x = np.random.default_rng(3).normal(size=(n, 64))
+    recall, precision = vector_recall(spark, x, 5, -1.0)
+    assert recall >= 0.9 and precision >= 0.9
+
+
+@pytest.mark.parametrize("levels", [1, 6])
+def test_large_files_are_indexed_again_and_at_last_cut_into_chunks(spark, monkeypatch, levels):
+    for name, value in (("LEAF", 200), ("FILE", 50), ("MOST_PIVOTS", 20), ("LEVELS", levels), ("POSTED_AT_ONCE", 500)):
+        monkeypatch.setattr(neighbours, name, value)
     g = np.random.default_rng(4)
-    centre = g.normal(size=64)
-    rows = [(i, (centre + g.normal(size=64) * 0.05).tolist()) for i in range(120)]
-    df = spark.createDataFrame(rows, "id bigint, embedding array<float>")
-    want = neighbours.similar_pairs(df, "id", "embedding").collect()
-    monkeypatch.setattr(neighbours, "BLOCK", 25)
-    assert sorted(map(str, neighbours.similar_pairs(df, "id", "embedding").collect())) == sorted(map(str, want))
+    x = (g.normal(size=(30, 1, 64)) + 0.1 * g.normal(size=(30, 100, 64))).reshape(-1, 64)
+    recall, precision = vector_recall(spark, x, 5, 0.9)
+    assert recall >= 0.9 and precision >= 0.9
+    same = np.ones((900, 64)) + 0.02 * g.normal(size=(900, 64))
+    assert levels > 1 or vector_recall(spark, same, 3, 0.9)[0] >= 0.9
+
+
+def test_tight_vectors_are_told_apart():
+    g = np.random.default_rng(5)
+    x = 1 + 1e-4 * g.normal(size=(600, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    d = ((x[:, None].astype(np.float64) - x) ** 2).sum(2) + 9 * np.eye(600)
+    want = {(i, int(j)) for i in range(600) for j in np.argpartition(d[i], 4)[:5]}
+    a, b, _ = neighbours.best_in_file(x, np.arange(600), 5, 32, 0.9)
+    assert len(want & set(zip(a.tolist(), b.tolist()))) >= 0.95 * len(want)
 
 
 # -- functions and their documentation
