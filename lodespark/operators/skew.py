@@ -66,6 +66,14 @@ def skew_join(
     return out.unionByName(hot.join(F.broadcast(hot_dim), key, how))
 
 
+def _once(df: DataFrame, key: str, id_col: str) -> DataFrame:
+    """One row of each record; the last one by all other columns."""
+    rest = [c for c in df.columns if c not in (key, id_col)]
+    if not rest:
+        return df.dropDuplicates([key, id_col])
+    return df.groupBy(key, id_col).agg(F.max(F.struct(*rest)).alias("_s")).select(key, id_col, "_s.*")
+
+
 def per_key(
     facts: DataFrame,
     key: str,
@@ -76,7 +84,8 @@ def per_key(
 ) -> DataFrame:
     """One row per non-null ``key``: its aggregates over the distinct records, without straggler tasks.
 
-    Records delivered more than once (same ``key`` and ``id_col``) count once. ``aggs`` must be
+    Records delivered more than once (same ``key`` and ``id_col``) count once; of differing deliveries the
+    one that is last by the other columns in their order counts (nulls first). ``aggs`` must be
     algebraic (sum, count, min, max): they are computed map-side before the heavy keys' tiny shuffle.
     With ``dim`` (unique on ``key``; repeats are dropped) only keys found there stay, with its columns.
     Empty input gives no rows; null keys give no row; null ids count as one record of their key.
@@ -89,13 +98,13 @@ def per_key(
         extra = [c for c in dim.columns if c != key and c not in facts.columns]
         dim = dim.select(key, *extra).where(F.col(key).isNotNull())
     # the light keys: one exchange on the key serves the dedupe, the aggregate and the join
-    light = rest.repartition(F.col(key)).dropDuplicates([key, id_col]).groupBy(key).agg(*aggs)
+    light = _once(rest.repartition(F.col(key)), key, id_col).groupBy(key).agg(*aggs)
     if dim is not None:
         light = light.join(dim.dropDuplicates([key]), key, "inner" if extra else "left_semi")
     if hot is None:
         return light
     # the heavy keys: distinct over (key, id) spreads them, then partial aggregates leave one row per task and key
-    part = hot.dropDuplicates([key, id_col])
+    part = _once(hot, key, id_col)
     if dim is not None:
         hot_dim = F.broadcast(dim.where(F.col(key).isin(heavy)).dropDuplicates([key]))
         part = part.join(hot_dim, key, "inner" if extra else "left_semi")

@@ -67,13 +67,19 @@ UNION ALL
 SELECT 'ci_imports', file_id FROM i GROUP BY file_id HAVING count(DISTINCT id) >= 0.025 * (SELECT count(DISTINCT id) FROM i)
 """,
     "p1_file_symbols": """
-WITH s AS (SELECT DISTINCT ON (id, file_id) id, file_id, lower(trim(kind)) AS kind, line_start, line_end FROM ci_symbols)
+WITH s AS (
+  SELECT id, file_id, lower(trim(kind)) AS kind, line_start, line_end FROM ci_symbols QUALIFY row_number() OVER (
+    PARTITION BY id, file_id ORDER BY kind DESC NULLS LAST, line_start DESC NULLS LAST, line_end DESC NULLS LAST) = 1
+)
 SELECT file_id, count(*) AS n_symbols, count(*) FILTER (kind IN ('function', 'method')) AS n_callables,
        CAST(max(line_end) AS BIGINT) AS last_line, CAST(sum(line_end - line_start + 1) AS BIGINT) AS n_lines
 FROM s WHERE file_id IN (SELECT id FROM ci_files) GROUP BY file_id
 """,
     "p1_file_imports": """
-WITH s AS (SELECT DISTINCT ON (id, to_file_id) id, to_file_id, resolution, line FROM ci_imports)
+WITH s AS (
+  SELECT id, to_file_id, resolution, line FROM ci_imports QUALIFY row_number() OVER (
+    PARTITION BY id, to_file_id ORDER BY resolution DESC NULLS LAST, line DESC NULLS LAST) = 1
+)
 SELECT to_file_id, count(*) AS n_imports, count(*) FILTER (resolution = 'internal') AS n_internal, CAST(min(line) AS BIGINT) AS first_line
 FROM s WHERE to_file_id IN (SELECT id FROM ci_files) GROUP BY to_file_id
 """,

@@ -2,12 +2,32 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_OURS: dict[str, object] = {}
+
+
+def _clean() -> None:
+    """Removes this program's intermediate tables and checkpoints as it ends."""
+    for path, spark in _OURS.items():
+        try:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jvm.org.apache.hadoop.conf.Configuration()).delete(at, True)
+        except Exception:  # noqa: BLE001, S112 - the JVM may be gone; what is left is the shared folder's to expire
+            continue
+
+
+def _remember(spark: SparkSession, path: str) -> None:
+    if not _OURS:
+        atexit.register(_clean)
+    _OURS[path] = spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors share, as named by ``spark.checkpoint.dir``.
 
@@ -24,12 +44,15 @@ def shared_dir(spark: SparkSession) -> str:
         named = tempfile.mkdtemp(prefix="lodespark-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
+        _remember(spark, spark.sparkContext.getCheckpointDir())  # a folder of this program below the named one
     return named
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder; it is removed as the program ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _remember(spark, path)
+    return path
 
 
 def cut(df: DataFrame) -> DataFrame:

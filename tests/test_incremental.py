@@ -36,6 +36,45 @@ def test_failure_before_publishing_leaves_nothing_and_repeats_nothing(spark):
         t.publish(staged, 0)
 
 
+def test_of_two_publishers_that_looked_first_exactly_one_wins(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    t, u = target(spark), None
+    t.process(rows(spark, (1, "a", 1, "")), 1)
+    u = VersionedTarget(spark, t.path, ["k"], ["h", "v"])
+    heads = t.head(), u.head()
+    staged = [x.stage(x.changes(rows(spark, (1, "b", 1, "")), h), 2) for x, h in zip((t, u), heads)]
+    for x in (t, u):
+        x.published = lambda version: False  # both have looked before either publishes
+    with ThreadPoolExecutor(2) as pool:
+        won = list(pool.map(lambda a: a[0].publish(a[1], 2, a[2]), zip((t, u), staged, heads)))
+    assert sorted(won) == [False, True]
+    fresh = VersionedTarget(spark, t.path, ["k"], ["h", "v"])
+    assert sorted(fresh.commits()) == [1, 2] and fresh.rows().count() == 2
+    # a later version that was compared with an outdated state loses, too, and process looks again
+    assert not fresh.publish(staged[0], 3, heads[0])
+    assert fresh.process(rows(spark, (1, "b", 1, ""), (2, "x", 1, "")), 3) and fresh.state().count() == 2
+    assert fresh.vacuum(0.0) == 1 and fresh.vacuum(0.0) == 0
+
+
+def test_renames_never_overwrite(spark):
+    t = target(spark)
+    t._fs.mkdirs(t._Path(t.path))
+    at = [t._Path(f"{t.path}/{n}") for n in "abc"]
+    for p in at[:2]:
+        t._fs.create(p, False).close()
+    assert t._renamed(at[0], at[2]) and not t._renamed(at[1], at[2])
+
+
+def test_a_long_history_is_compacted(spark):
+    t = target(spark)
+    for v in range(1, 13):
+        assert t.process(rows(spark, (1, "a", v, ""), (2, "b", 1, ""), (10 + v, "n", 1, "")), v)
+    assert len(t.head()["since"]) < 9 and t.head()["base"]
+    assert {r["k"]: r["v"] for r in t.state().collect()} == {1: 12, 2: 1, **{10 + v: 1 for v in range(1, 13)}}
+    assert t.rows().count() == 12 + 1 + 12
+
+
 def test_empty_runs(spark):
     t = target(spark)
     assert t.process(rows(spark), 1)
