@@ -140,9 +140,9 @@ def _post_again(dim: int, posts: int):
 
 
 def rank_codes(x: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """The order in which every row sees the file's local pivots, as bits: for each of STEPS, which pivots are among its nearest share.
+    """The order in which every row sees the file's local pivots: for each of STEPS, 1 for the pivots that are among its nearest share.
 
-    The number of bits in which two codes differ is the footrule distance of the two orders, with ranks told
+    The number of places in which two codes differ is the footrule distance of the two orders, with ranks told
     apart in steps of an eighth of the pivots.
     """
     n = min(LOCAL, len(x))
@@ -150,42 +150,48 @@ def rank_codes(x: np.ndarray, ids: np.ndarray) -> np.ndarray:
     s = x @ pivots.T - (pivots * pivots).sum(1) / 2  # by distance: the rows need not be normalised
     places = [min(n - 1, max(0, n - round(c * n))) for c in STEPS]
     least = np.partition(s, sorted(set(places)), axis=1)[:, places]
-    bits = np.concatenate([np.packbits(s >= least[:, [i]], axis=1) for i in range(len(places))], 1)
-    return np.concatenate([bits, np.zeros((len(x), -bits.shape[1] % 8), np.uint8)], 1).view(np.uint64)
+    return np.concatenate([s >= least[:, [i]] for i in range(len(places))], 1).astype(np.float32)
 
 
-def footrule(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Footrule distances of all rows of ``a`` to all rows of ``b``."""
-    d = np.zeros((len(a), len(b)), np.uint16)
-    for w in range(a.shape[1]):
-        d += np.bitwise_count(a[:, w, None] ^ b[None, :, w])
-    return d
+def footrule(codes: np.ndarray) -> np.ndarray:
+    """Footrule distances of all rows to each other; the places that differ are counted by a product of the 0-1 codes."""
+    n = len(codes)
+    ones = codes.sum(1)
+    out = np.empty((n, n), np.int16)
+    for lo in range(0, n, ROWS):
+        hi = min(n, lo + ROWS)
+        d = (ones[lo:hi, None] + ones[lo:] - 2 * (codes[lo:hi] @ codes[lo:].T)).astype(np.int16)
+        out[lo:hi, lo:] = d
+        out[lo:, lo:hi] = d.T
+    return out
 
 
 def best_in_file(x: np.ndarray, ids: np.ndarray, k: int, spread: int, min_cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, partner, cosine): of the ``spread * k`` nearest of each row by footrule, both ways, the k of the highest cosine."""
+    """(row, partner, cosine): of the ``spread * k`` nearest of each row by footrule (with ties), both ways, the k of the highest cosine (with ties)."""
     n, many = len(x), spread * k
     near = None
     y = x - x.mean(0)  # of unit vectors 1 - cosine is half the squared distance, which is precise in tight files only without their mean
     half = (y * y).sum(1) / 2
     if n - 1 > many:
-        codes = rank_codes(y, ids)
-        near = np.zeros((n, n), bool)
-        for lo in range(0, n, ROWS):
-            d = footrule(codes[lo : lo + ROWS], codes)
-            d[np.arange(len(d)), np.arange(lo, lo + len(d))] = 65535
-            np.put_along_axis(near[lo : lo + ROWS], np.argpartition(d, many - 1, axis=1)[:, :many], True, 1)
+        d = footrule(rank_codes(y, ids))
+        np.fill_diagonal(d, np.iinfo(np.int16).max)
+        near = d <= np.partition(d, many - 1, axis=1)[:, [many - 1]]
         near |= near.T
-    out = []
+    left, right = [], []
     for lo in range(0, n, ROWS):
         s = y[lo : lo + ROWS] @ y.T - half - half[lo : lo + ROWS, None]  # cosine - 1
-        if near is not None:
-            s[~near[lo : lo + ROWS]] = -4
         s[np.arange(len(s)), np.arange(lo, lo + len(s))] = -4
-        top = np.argpartition(-s, k - 1, axis=1)[:, :k] if n - 1 > k else np.tile(np.arange(n), (len(s), 1))
-        good = np.take_along_axis(s, top, 1) >= max(min_cosine - 1e-4, -1.5) - 1
-        out.append((np.repeat(np.arange(lo, lo + len(s)), top.shape[1])[good.ravel()], top[good]))
-    a, b = (np.concatenate([o[i] for o in out]) for i in (0, 1))
+        good = s >= max(min_cosine - 1e-4, -1.5) - 1
+        if near is not None:
+            good &= near[lo : lo + ROWS]
+        full = np.flatnonzero(good.sum(1) > k)
+        if len(full):
+            t = np.where(good[full], s[full], np.float32(-4))
+            good[full] &= t >= np.partition(t, n - k, axis=1)[:, [n - k]]
+        a, b = np.nonzero(good)
+        left.append(lo + a)
+        right.append(b)
+    a, b = np.concatenate(left), np.concatenate(right)
     apart = x[a].astype(np.float64) - x[b]
     cosine = 1 - np.einsum("ij,ij->i", apart, apart) / 2
     good = cosine >= min_cosine
