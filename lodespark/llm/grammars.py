@@ -16,6 +16,8 @@ class Bad(Exception):
     """The text is no valid source."""
 
 
+#: End marks behind the last token, as rules look ahead; with them no rule reads past the lists.
+PAST_END = 64
 OPEN = {"(": ")", "[": "]", "{": "}"}
 
 
@@ -29,7 +31,8 @@ class Parser:
         self.pos: list[int] = []
         self.i = 0
         self.scan(text)
-        self.add("E", None, True, len(text))
+        for _ in range(PAST_END):
+            self.add("E", None, True, len(text))
         self.pair()
 
     def add(self, kind: str, val: str | None, nl: bool, pos: int) -> None:
@@ -719,6 +722,10 @@ class JavaScript(Parser):
                     return
                 raise Bad("decorated")
         if k == "n":
+            if self.using():
+                self.variables()
+                self.semi()
+                return
             if v in ("var", "const") or v == "let" and (self.kind[self.i + 1] == "n" and self.peek() not in ("in", "instanceof", "of") or self.peek() in ("{", "[")):
                 if self.TS and v == "const" and self.peek() == "enum":
                     self.i += 1
@@ -741,6 +748,17 @@ class JavaScript(Parser):
         self.expression()
         self.semi()
 
+    def using(self) -> bool:
+        """Takes ``using`` or ``await using`` where a declaration follows."""
+        k = 1 if self.v == "await" and self.peek() == "using" and not self.nl[self.i + 1] else 0
+        if self.peek(k) != "using" or self.kind[self.i + k + 1] != "n" or self.nl[self.i + k + 1]:
+            return False
+        after = self.peek(k + 1)
+        if after in ("in", "instanceof", "as", "satisfies") or after == "of" and self.peek(k + 2) not in ("=", "of", ":"):
+            return False
+        self.i += k + 1
+        return True
+
     def s_function(self) -> None:
         self.function(True)
 
@@ -784,7 +802,9 @@ class JavaScript(Parser):
         self.got("await")
         self.need("(")
         self.no_in = True
-        if self.v in ("var", "const", "let") and (self.kind[self.i + 1] == "n" or self.peek() in ("[", "{")):
+        if self.using():
+            self.variables()
+        elif self.v in ("var", "const", "let") and (self.kind[self.i + 1] == "n" or self.peek() in ("[", "{")):
             self.i += 1
             self.variables()
         elif self.v != ";":
@@ -1947,6 +1967,15 @@ class C(Parser):
             self.i += 1
             self.skip_group()
             return
+        if self.is_name() and self.peek() == "(":
+            after = self.match[self.i + 1] + 1
+            if self.val[after] == ";" or self.v.isupper() and self.val[after] == "{":
+                self.i = after  # a macro that makes declarations, or the head of a function
+                if self.v == "{":
+                    self.block()
+                else:
+                    self.need(";")
+                return
         self.declaration(True)
 
     def specifiers(self) -> bool:
@@ -1998,6 +2027,8 @@ class C(Parser):
             elif not typed and self.is_name():
                 self.i += 1
                 typed = True
+            elif typed and self.is_name() and self.v.startswith("__") and (self.kind[self.i + 1] == "n" or self.peek() == "*"):
+                self.i += 1  # a macro for attributes of the section or address space
             else:
                 return typed or some
 
@@ -2671,8 +2702,8 @@ class Go(Parser):
                 raise Bad("call")
         elif self.is_name() and self.peek() == ":":
             self.i += 2
-            if self.v != "}":
-                self.got(";")
+            if self.v not in ("}", "case", "default", ";"):  # a label may stand alone
+                self.statement()
         else:
             at = self.i
             self.simple()
@@ -2955,7 +2986,13 @@ class Rust(Parser):
                     break
                 self.i = at2
                 self.item(True)
-        elif v == "extern" and (self.peek() == "crate" or self.peek() == "{" or self.kind[self.i + 1] == "s" and self.peek(2) == "{"):
+        elif v == "safe" and self.peek() == "static":
+            self.i += 1
+            return self.item(must)
+        elif v == "extern" and (self.peek() == "crate" or self.peek() == "{" or self.kind[self.i + 1] == "s" and self.peek(2) == "{") or (
+            v == "unsafe" and self.peek() == "extern" and (self.peek(2) == "{" or self.kind[self.i + 2] == "s" and self.peek(3) == "{")
+        ):
+            self.got("unsafe")
             self.i += 1
             if self.got("crate"):
                 self.name(False)
@@ -3014,7 +3051,7 @@ class Rust(Parser):
 
     def function_start(self) -> bool:
         k = 0
-        while self.peek(k) in ("const", "async", "unsafe", "extern", "default") or k and self.kind[self.i + k] == "s" and self.peek(k - 1) == "extern":
+        while self.peek(k) in ("const", "async", "unsafe", "safe", "extern", "default") or k and self.kind[self.i + k] == "s" and self.peek(k - 1) == "extern":
             k += 1
         return self.peek(k) == "fn" and self.kind[self.i + k + 1] == "n"
 
@@ -3088,6 +3125,14 @@ class Rust(Parser):
         while True:
             if self.kind[self.i] == "l":
                 self.i += 1
+            elif self.v == "use" and self.peek() == "<":
+                self.i += 2
+                while not self.got(">"):
+                    self.i += 1 if self.kind[self.i] == "l" or self.v == "Self" else 0
+                    if self.kind[self.i - 1] != "l" and self.val[self.i - 1] != "Self":
+                        self.name()
+                    if self.v != ">":
+                        self.need(",")
             else:
                 paren = self.got("(")
                 self.got("?", "~")
@@ -3649,7 +3694,7 @@ class Rust(Parser):
 class Bash:
     """Shell grammar over characters: words with their quotes and expansions, here-documents, compound commands."""
 
-    CLOSERS = frozenset("then elif else fi do done esac in } ;; )".split())
+    CLOSERS = frozenset("then elif else fi do done esac in } ;; ;;& ;& )".split())
     META = frozenset(" \t\n;&|()<>")
 
     def __init__(self, text: str):
@@ -3708,8 +3753,9 @@ class Bash:
         at = self.i
         if self.c() in ("", "\n"):
             return self.c()
-        if self.s.startswith(";;", at):
-            return ";;"
+        for mark in (";;&", ";;", ";&"):
+            if self.s.startswith(mark, at):
+                return mark
         if self.c() in "();|&<>":
             return self.c()
         j = at
@@ -3739,7 +3785,7 @@ class Bash:
             n += 1
             self.blanks()
             ch = self.c()
-            if ch == ";" and self.c(1) != ";":
+            if ch == ";" and self.c(1) not in (";", "&"):
                 self.i += 1
             elif ch == "&" and self.c(1) != "&":
                 self.i += 1
@@ -3869,6 +3915,10 @@ class Bash:
         elif w == "coproc":
             self.i += 6
             self.blanks()
+            named = re.compile(r"[A-Za-z_]\w*(?=[ \t]+[{(])").match(self.s, self.i)
+            if named and named[0] not in ("if", "while", "until", "for", "case", "select", "function"):
+                self.i = named.end()
+                self.blanks()
             self.command()
             return
         else:
@@ -3922,7 +3972,7 @@ class Bash:
             if self.c() != ")":
                 raise Bad(f"pattern at {self.i}")
             self.i += 1
-            self.commands((";;", "esac", ";&"))
+            self.commands((";;&", ";;", ";&", "esac"))
             if self.s.startswith(";;&", self.i):
                 self.i += 3
             elif self.s.startswith((";;", ";&"), self.i):
@@ -4172,13 +4222,19 @@ class Bash:
 
 
 # ---------------------------------------------------------------------------------------------------------------------
+class Undecided(Exception):
+    """The checker could not read the text to its end."""
+
+
 def _python(text: str) -> None:
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             ast.parse(text.lstrip("﻿"))
-    except (SyntaxError, ValueError, MemoryError, RecursionError) as e:
+    except (SyntaxError, ValueError) as e:
         raise Bad(str(e)) from None
+    except MemoryError as e:
+        raise Undecided(str(e)) from None
 
 
 def _own(kind):
@@ -4188,6 +4244,8 @@ def _own(kind):
     return run
 
 
+#: Calls that may be open at once; a bracket takes about ten.
+DEPTH = 200_000
 GRAMMARS = {
     "python": _python,
     "typescript": _own(TypeScript),
@@ -4200,12 +4258,17 @@ GRAMMARS = {
 }
 
 
-def parses(language: str, text: str) -> bool:
-    """Whether ``text`` is a valid source file of ``language``; empty text is. Texts nested too deeply to read are not."""
-    if sys.getrecursionlimit() < 5000:
-        sys.setrecursionlimit(5000)
+def parses(language: str, text: str) -> bool | None:
+    """Whether ``text`` is a valid source file of ``language``; empty text is.
+
+    None if that can't be told: nested more deeply than the checker can follow, or a fault of its own.
+    """
+    if sys.getrecursionlimit() < DEPTH:
+        sys.setrecursionlimit(DEPTH)
     try:
         GRAMMARS[language](text)
         return True
-    except (Bad, IndexError, RecursionError):
+    except Bad:
         return False
+    except (Undecided, RecursionError, IndexError, KeyError, TypeError, AttributeError):
+        return None

@@ -69,15 +69,43 @@ def test_grammars_accept_valid_and_reject_damaged_files(lang):
     assert not any(grammars.parses(o, text) for o in others)
 
 
+FORMS = {
+    "go": ["package a\nfunc f() {\nL:\n\tfor {\n\t\tbreak L\n\t}\n}\n", "package a\nfunc f() {\n\tgoto end\nend:\n}\n", "package a\nfunc f() {\nend:\n\treturn\n}\n", "package a\nfunc f(){ switch x { case 1: L: for { continue L } ; default: M: } }\n"],
+    "bash": ["case $x in\na) echo 1 ;&\nb) echo 2 ;;&\n*) echo 3 ;;\nesac\n", "coproc name { cat; }\n", "coproc cat\n", "coproc N { read x; } 2>/dev/null\necho x\n"],
+    "rust": ['unsafe extern "C" { fn f(x: i32) -> i32; safe fn g(); static X: i32; }\n', "fn f<'a>(x: &'a i32) -> impl Sized + use<'_> { x }\n", "fn f<'a, T>(x: &'a T) -> impl Sized + use<'a, T> { x }\n"],
+    "typescript": ["using x = f();\n", "async function f(){ await using y = g(), z = h(); for (using a of b) {} for (await using c of d) {} }\n", "const using = 1; using + 1; using(2); using\nx = 2\n"],
+    "javascript": ["{ await using y = g(); }\n", "let using = 3; using.x = 4; using[0] = 1;\n"],
+    "c": ['static int __init f(void) { return 0; }\nMODULE_LICENSE("GPL");\nmodule_init(f);\n', "static const struct a __initconst b[] = { {1}, };\n__u32 x = 1;\n", "SYSCALL_DEFINE2(foo, int, a, char __user *, b)\n{\n\treturn 0;\n}\n"],
+}
+
+
+@pytest.mark.parametrize("lang", sorted(FORMS))
+def test_grammars_accept_rarer_forms(lang):
+    for text in FORMS[lang]:
+        assert grammars.parses(lang, text), text
+        assert not grammars.parses(lang, text + "}\n")
+
+
+def test_depth_and_faults_of_a_checker_are_no_verdict(monkeypatch):
+    deep = "(" * 1500 + "1" + ")" * 1500
+    for lang, text in (("java", f"class A {{ int x = {deep}; }}"), ("go", f"package a\nvar x = {deep}\n"), ("c", f"int x = {deep};"), ("javascript", f"x = {deep};"), ("rust", f"const X: i32 = {deep};")):
+        assert grammars.parses(lang, text), lang
+    monkeypatch.setitem(grammars.GRAMMARS, "go", lambda text: [][1])
+    assert grammars.parses("go", "package a") is None and syntax.judge("go", "package a")[0] == "undecided"
+
+
 def test_file_report(spark):
     files = spark.createDataFrame(
         [(1, "r/a.PY", "x = 1\n"), (1, "r/a.PY", "x = 1\n"), (2, "r/b.js", GOOD["typescript"]), (3, "r/c.go", "package a\nfunc f( {"), (4, "r/d.txt", "{"), (5, "r/e.pyi", None), (6, "r/f.rs", "// only\n"), (None, "r/g.py", "("), (7, None, "(")],
         "file_id bigint, path string, body string",
     ).withColumn("status", F.lit("clash"))
     got = {r["file_id"]: (r["status"], r["parses_as"]) for r in syntax.check_files(files).collect()}
-    assert got == {1: ("valid", "python"), 2: ("wrong_extension", "typescript"), 3: ("corrupt", None), 5: ("valid", "python"), 6: ("valid", "rust")}
+    assert {k: v[0] for k, v in got.items()} == {1: "valid", 2: "wrong_extension", 3: "corrupt", 4: "unsupported", 5: "valid", 6: "valid"}
+    assert "python" in got[1][1] and got[2][1] == ["typescript"] and got[3][1] == got[4][1] == [] and "rust" in got[6][1]
+    assert sorted(r[0] for r in syntax.failing(files).collect()) == [2, 3]
     index = spark.createDataFrame([(1, "JavaScript"), (2, "js"), (3, None)], "id bigint, language string")
     rates = {(r["repo"], r["language"]): (r["files"], r["n_corrupt"], r["n_wrong_extension"], r["n_mislabelled"]) for r in syntax.rates(files, index).collect()}
+    assert rates[("r", ".txt")] == (1, 0, 0, 0)
     assert rates[("r", "python")] == (2, 0, 0, 1) and rates[("r", "javascript")] == (1, 0, 1, 0) and rates[("r", "go")] == (1, 1, 0, 0)
     assert syntax.check_files(files.limit(0)).count() == 0
 
