@@ -227,6 +227,55 @@ def test_pairs_inherit_documentation_over_levels(spark):
     assert docpairs.pairs(symbols.limit(0), files).count() == 0
 
 
+HEADERS = {
+    "a.java": ("/* class X extends Y {} */ public final class A<T extends Comparable<T>>\n    extends p.q.B<T, C>\n    implements D, E<F> {\n class In extends Out {} }\ninterface G extends H, I {}\nenum J implements K { L }\nrecord M(int x) implements N {}\nString s = \"class O extends P {\";\n", {("A", "B"), ("A", "D"), ("A", "E"), ("In", "Out"), ("G", "H"), ("G", "I"), ("J", "K"), ("M", "N")}),
+    "a.py": ("class A(b.B, Generic[T], metaclass=M):\n  '''class X(Y): pass'''\nclass C: pass\nclass D(\n    A,  # class Z(W):\n): pass\n", {("A", "B"), ("A", "Generic"), ("D", "A")}),
+    "a.ts": ("export abstract class A<T> extends B<T> implements C, D { x = `class X extends Y {`; }\nconst k = class extends Z {};\ninterface E extends F<G> {}\n", {("A", "B"), ("A", "C"), ("A", "D"), ("E", "F")}),
+    "a.rs": ("impl<'a, T: Fn(i32) -> i32> fmt::Display for A<'a, T> where T: Clone { }\nimpl B { }\ntrait C: D + E {}\n", {("A", "Display"), ("C", "E")}),
+    "a.cpp": ("class A final : public ns::B<int>, private virtual C { };\nstruct D;\nclass E;\n", {("A", "B"), ("A", "C")}),
+    "a.go": ("package p\ntype A struct {\n\tB\n\t*q.C\n\tname string\n\tf func(x int) D\n}\ntype I interface {\n\tJ\n\tF(x int) error\n}\n", {("A", "B"), ("A", "C"), ("I", "J")}),
+    "a.kt": ("open class A(val x: Int) : B(x), C {\n}\n", {("A", "B"), ("A", "C")}),
+}
+
+
+@pytest.mark.parametrize("path", sorted(HEADERS))
+def test_class_headers(path):
+    text, want = HEADERS[path]
+    assert set(docpairs.Headers(path, text).edges()) == want
+    for cut_at in range(0, len(text), 3):  # damaged texts end, too
+        list(docpairs.Headers(path, text[:cut_at]).edges())
+
+
+def test_inherited_documentation_is_left_out_of_own_and_found_in_pairs(spark):
+    g = random.Random(9)
+    n, depth = 40, 5
+    body = "".join(f"class K{i}_{d}{f' extends K{i}_{d - 1}' if d else ''} {{\n  go() {{ return {d}; }}\n}}\n" for i in range(n) for d in range(depth))
+    files = spark.createDataFrame([(1, "r/a.js", body), (2, "s/a.js", body)], "file_id bigint, path string, body string")
+    rows, want, own = [], {}, set()
+    for i in range(n):
+        level = g.randrange(depth)
+        for d in range(depth):
+            doc = f"Goes {i}." if d == level else g.choice([None, "{@inheritDoc}", "/** */"])
+            sid = 100 * i + d
+            rows.append((sid, 1, "method", "go", f"K{i}_{d}.go", 3 * (depth * i + d) + 2, 3 * (depth * i + d) + 2, doc))
+            if d >= level:
+                want[sid] = (f"Goes {i}.", 100 * i + level, f"  go() {{ return {d}; }}")
+        own.add(100 * i + level)
+    symbols = spark.createDataFrame(rows, "id bigint, file_id bigint, kind string, name string, qualname string, line_start int, line_end int, docstring string")
+    assert {r["symbol_id"]: (r["doc"], r["doc_from"], r["code"]) for r in docpairs.pairs(symbols, files).collect()} == want
+    assert {r[0] for r in docpairs.documented_ids(symbols, files).collect()} == own
+
+
+def test_code_over_many_rows_of_lines(spark):
+    lines = [f"line {i}" for i in range(1, 1001)]
+    files = spark.createDataFrame([(1, "\r\n".join(lines)), (2, ""), (3, "one")], "file_id bigint, body string")
+    spans = [(i, 1, a, b) for i, (a, b) in enumerate([(1, 1), (250, 260), (1, 1000), (990, 5000), (256, 257), (-3, 2), (1001, 1002), (5, 4)])] + [(20, 2, 1, 9), (21, 3, 1, 2**31 - 1), (22, 9, 1, 1), (23, 1, None, 2)]
+    df = spark.createDataFrame(spans, "id bigint, file_id bigint, line_start int, line_end int")
+    got = {r["id"]: r["code"] for r in docpairs.code_of(df, files).collect()}
+    want = {i: "\n".join(lines[max(a, 1) - 1 : b]) for i, f, a, b in spans if f == 1 and a is not None and b >= max(a, 1) and a <= 1000} | {20: "", 21: "one"}
+    assert got == want
+
+
 # -- tokens
 def test_encoding_equals_reference_encoder(spark):
     import tiktoken
