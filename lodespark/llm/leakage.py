@@ -4,14 +4,17 @@ Every evaluation item is cut into all its windows of ``PASSAGE`` words (items sh
 looked up by their words instead), every document into overlapping windows that hold any such passage whole. The shingle sets of the
 document windows are partitioned by size; in each partition the containment that a passage with the
 allowed changes still has is turned into a Jaccard similarity at the partition's largest size, from which
-the number of MinHash bands follows. Document windows that share a band with an item window are candidates;
-an exact check over the words decides.
+the number of MinHash bands follows. Document windows that share a band with an item window are candidates.
+They are verified by exact containment: some PASSAGE words of the item must have as many of their shingles in the document
+as the allowed changes leave. An alignment of the words then tells a passage from shingles that are scattered.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import math
+import pickle
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -145,6 +148,7 @@ class Items:
         self.bits = np.zeros(1 << 22, bool)
         self.bits[self.keys & np.uint64((1 << 22) - 1)] = True
         self.at = [_positions(w) for _, w in self.words]
+        self.shingled = [shingles(w, {}) for _, w in self.words]
 
     def hashed(self, s: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -184,14 +188,48 @@ class Items:
                 edges = np.stack([a - base, z - base], 1).ravel()[: 2 * len(a) - at_end]
                 m = np.minimum.reduceat(h, edges, axis=1)[:, ::2]
                 key = _mix(m ^ np.arange(b, dtype=np.uint64)[:, None]).ravel()
-                key = key[self.bits[key & np.uint64((1 << 22) - 1)]]
-                if len(key):
-                    left = np.searchsorted(self.keys, key, "left")
-                    right = np.searchsorted(self.keys, key, "right")
-                    for x, y in zip(left[right > left], right[right > left]):
-                        found.update(self.which[x:y].tolist())
+                key = np.unique(key[self.bits[key & np.uint64((1 << 22) - 1)]])
+                left = np.searchsorted(self.keys, key, "left")
+                many = np.searchsorted(self.keys, key, "right") - left
+                if many.any():
+                    at = np.arange(many.sum()) + np.repeat(left - (np.cumsum(many) - many), many)
+                    found.update(np.unique(self.which[at]).tolist())
         return found
 
+    def contained(self, k: int, sorted_shingles: np.ndarray) -> bool:
+        """Whether enough shingles of some PASSAGE words of item ``k`` (of the whole of a shorter one) are among a document's.
+
+        Each allowed change or addition of a word takes SHINGLE of them at most, so no passage is refused here.
+        """
+        own, n = self.shingled[k], len(self.words[k][1])
+        edits = PASSAGE // EDIT_IN + 1 if n >= PASSAGE else n // EDIT_IN
+        width = min(n, PASSAGE) - SHINGLE + 1
+        need = width - SHINGLE * edits
+        if need <= 0:
+            return True
+        if not len(sorted_shingles):
+            return False
+        at = np.searchsorted(sorted_shingles, own)
+        there = sorted_shingles[np.minimum(at, len(sorted_shingles) - 1)] == own
+        upto = np.concatenate([[0], np.cumsum(there)])
+        return bool((upto[width:] - upto[:-width]).max() >= need)
+
+    def found_in(self, text: str | None, known: dict[str, int]) -> list:
+        """The items of which a text holds a passage."""
+        words = words_of(text)
+        s = shingles(words, known)
+        near = sorted(self.candidates(s) | self.short_candidates(words))
+        if not near:
+            return []
+        have = np.unique(s)
+        out = []
+        for k in near:
+            item, own = self.words[k]
+            need = min(PASSAGE, len(own))
+            if self.contained(k, have) and longest_passage(own, self.at[k], words, need) >= need:
+                out.append(item)
+        return out
+
 
 def _positions(words: list[str]) -> dict[str, list[int]]:
     at: dict[str, list[int]] = {}
@@ -258,51 +296,63 @@ def longest_passage(item: list[str], at: dict[str, list[int]], doc: list[str], n
     return best
 
 
+#: Indexes of the blocks that a Python worker has seen last; a worker serves many tasks.
+_made: dict[bytes, Items] = {}
+
+
+def _index(packed: bytes) -> Items:
+    key = hashlib.sha1(packed).digest()
+    if key not in _made:
+        if len(_made) >= 4:
+            _made.pop(next(iter(_made)))
+        _made[key] = Items(pickle.loads(packed))
+    return _made[key]
+
+
+def _blocks(items: DataFrame, item_col: str, prompt_col: str) -> Iterator[bytes]:
+    """The distinct items in blocks of about BLOCK shingle windows; one block at a time is in the driver's memory."""
+    rows = items.select(item_col, prompt_col).where(F.col(item_col).isNotNull() & F.col(prompt_col).isNotNull()).distinct()
+    block, size = [], 0
+    for item, prompt in rows.sort(item_col, prompt_col).toLocalIterator():
+        n = len(prompt) // 4
+        if block and size + n > BLOCK:
+            yield pickle.dumps(block)
+            block, size = [], 0
+        block.append((item, prompt))
+        size += n
+    yield pickle.dumps(block)
+
+
 def leaks(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, prompt_col: str) -> DataFrame:
     """``id_col``, ``item_col``: documents that hold an item, or PASSAGE consecutive words of it.
 
     Items shorter than PASSAGE words must be there whole, with the same share of edits. Null, empty and wordless texts hold nothing and
-    are held nowhere; repeated items and documents count once; null ids are skipped. Items are taken to
-    the driver in blocks of BLOCK windows (a stated query set), documents are read once per block.
+    are held nowhere; repeated items and documents count once; null ids are skipped. The items (a stated query
+    set) pass through the driver and are sent to the executors in blocks of BLOCK windows; documents are
+    read once per block.
     """
+    from pyspark.sql.pandas.types import to_arrow_type
+
     spark = docs.sparkSession
-    rows = sorted({(r[0], r[1]) for r in items.select(item_col, prompt_col).where(F.col(item_col).isNotNull() & F.col(prompt_col).isNotNull()).toLocalIterator()})
-    blocks: list[list] = [[]]
-    size = 0
-    for r in rows:
-        n = len(r[1]) // 4
-        if size + n > BLOCK and blocks[-1]:
-            blocks.append([])
-            size = 0
-        blocks[-1].append(r)
-        size += n
+    out_type = to_arrow_type(items.schema[item_col].dataType)
     kinds = [docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()]
     schema = f"`{id_col}` {kinds[0]}, `{item_col}` {kinds[1]}"
     rows_of = spread(docs.select(id_col, F.col(text_col).cast("string")).where(F.col(id_col).isNotNull()), id_col)
-    parts = []
-    for block in blocks:
+    out = None
+    for block in _blocks(items, item_col, prompt_col):
         sent = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = Items(sent.value)
+            index = _index(sent.value)
             known: dict[str, int] = {}
             for batch in batches:
                 a, b = [], []
                 for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    words = words_of(text)
-                    for k in index.candidates(shingles(words, known)) | index.short_candidates(words):
-                        item, own = index.words[k]
-                        need = min(PASSAGE, len(own))
-                        if longest_passage(own, index.at[k], words, need) >= need:
-                            a.append(doc)
-                            b.append(item)
+                    for item in index.found_in(text, known):
+                        a.append(doc)
+                        b.append(item)
                 yield pa.RecordBatch.from_pydict({id_col: pa.array(a, batch.schema.field(0).type), item_col: pa.array(b, out_type)})
 
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        out_type = to_arrow_type(items.schema[item_col].dataType)
-        parts.append(rows_of.mapInArrow(run, schema))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        part = rows_of.mapInArrow(run, schema)
+        out = part if out is None else out.unionByName(part)
     return out.distinct()

@@ -325,6 +325,23 @@ def test_leaks_equal_brute_force(spark):
     assert leakage.leaks(df, ev.limit(0), "doc_id", "text", "item_id", "prompt").count() == 0
 
 
+def test_short_items_blocks_and_containment(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "BLOCK", 20)  # several blocks
+    g = random.Random(8)
+    prose = [f"v{i}" for i in range(5000)]
+    long_item = g.sample(prose, 40)
+    items = [(1, "hello world"), (2, "Zyzzyva"), (3, "one two three"), (4, " ".join(prose[:9])), (5, " ".join(prose[20:39])), (6, " ".join(long_item)), (6, " ".join(long_item))]
+    edited = [*prose[20:30], "new", *prose[30:39]]
+    scattered = [w for i in range(0, 38, 2) for w in (*long_item[i : i + 2], f"q{i}")]  # words of an item, but no passage
+    docs = [(1, "say HELLO, world!"), (2, "a zyzzyva"), (3, "one two, <b>three</b>"), (4, "x " + " ".join(prose[:9])), (5, " ".join(edited)), (6, "y " * 300 + " ".join(long_item[9:31])), (7, " ".join(scattered)), (8, "hello"), (9, "one two 3"), (10, None)]
+    df = spark.createDataFrame(docs, "d bigint, t string")
+    ev = spark.createDataFrame(items, "i bigint, p string")
+    assert {tuple(r) for r in leakage.leaks(df, ev, "d", "t", "i", "p").collect()} == {(k, k) for k in range(1, 7)}
+    index = leakage.Items([(6, " ".join(long_item))])
+    have = lambda words: np.unique(leakage.shingles(words, {}))
+    assert index.contained(0, have(long_item[5:25])) and not index.contained(0, have(scattered)) and not index.contained(0, have([]))
+
+
 def test_words_ignore_form():
     want = leakage.words_of("the dirty_parcel bucket lets it survive")
     assert leakage.words_of("<b>The</b> *dirty\\_parcel*\nBUCKET &nbsp; l\u0435ts it, ｓurvive") == want
