@@ -15,8 +15,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodespark.operators.skew import heavy_keys, skew_join
 from lodespark.session import cut
 
+#: Parts of a heavy request's targets in the join with its score levels.
+SALTS = 32
+
 
 def prefix_sums(df: DataFrame, groups: Sequence[str], order: Sequence[str], sums: dict[str, str]) -> DataFrame:
     """Running sums (up to and including each row) within ``groups`` by ``order``, with no task per group.
@@ -61,16 +65,18 @@ def net_flow(
     best = cut(
         usable.groupBy(F.col(request).alias("r"), F.col(target).alias("t"), F.col(channel).alias("c")).agg(F.max(s).alias("s"))
     )
-    size = best.groupBy("r").agg(F.count_distinct("t").alias("n"))
-    per = best.groupBy("r", "c").agg(F.count(F.lit(1)).alias("m")).join(size, "r")
+    # what is known of a request is one row; requests with most of the rows meet it by broadcast, see skew_join
+    heavy = heavy_keys(best, "r")
+    known = best.select("r", "t").distinct().groupBy("r").agg(F.count(F.lit(1)).alias("n"))
+    sizes = best.groupBy("r", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("r").agg(F.map_from_entries(F.collect_list(F.struct("c", "m"))).alias("m"))
+    per = cut(known.join(sizes, "r"))
     # distinct score levels; the absent targets are one more level below all others
     levels = best.groupBy("r", "c", "s").agg(F.count(F.lit(1)).alias("k"))
-    ranked = prefix_sums(levels, ["r", "c"], ["s"], {"k": "upto"})
-    ranked = ranked.join(per, ["r", "c"]).select(
+    ranked = skew_join(prefix_sums(levels, ["r", "c"], ["s"], {"k": "upto"}), per, "r", heavy=heavy).select(
         "r", "c", "s", "k", "n",
-        (2 * (F.col("n") - F.col("m") + F.col("upto")) - F.col("k")).alias("x"),  # 2n times the mid-rank percentile
+        (2 * (F.col("n") - F.col("m")[F.col("c")] + F.col("upto")) - F.col("k")).alias("x"),  # 2n times the mid-rank percentile
     )
-    absent = per.where("n > m").select("r", "c", F.lit(None).cast("double").alias("s"), (F.col("n") - F.col("m")).alias("k"), "n", (F.col("n") - F.col("m")).alias("x"))
+    absent = per.select("r", "n", F.explode("m").alias("c", "m")).where("n > m").select("r", "c", F.lit(None).cast("double").alias("s"), (F.col("n") - F.col("m")).alias("k"), "n", (F.col("n") - F.col("m")).alias("x"))
     ranked = cut(ranked.unionByName(absent))
     # sums are needed at x, x - T and x + T: probes are put between the levels and read the sums at their place
     span = F.greatest(F.lit(1), F.round(F.lit(2 * threshold) * F.col("n"))).cast("bigint")
@@ -99,17 +105,21 @@ def net_flow(
     w = F.lit(1.0)
     for name, value in (weights or {}).items():
         w = F.when(F.col("c") == name, F.lit(float(value))).otherwise(w)
-    flow = got.select("r", "c", "s", "n", w.alias("w"), ((plus - minus) / F.greatest(F.lit(1), F.col("n") - 1)).alias("phi"))
-    base = flow.groupBy("r").agg(
-        F.sum(F.when(F.col("s").isNull(), F.col("w") * F.col("phi")).otherwise(0.0)).alias("absent"),
-    )
-    weight = flow.select("r", "c", "w").distinct().groupBy("r").agg(F.sum("w").alias("total"))
-    none = flow.where(F.col("s").isNull()).select("r", "c", F.col("phi").alias("phi0"))
-    gain = flow.where(F.col("s").isNotNull()).join(none, ["r", "c"], "left").select(
-        "r", "c", "s", (F.col("w") * (F.col("phi") - F.coalesce("phi0", F.lit(0.0)))).alias("gain")
-    )
-    per_target = best.join(gain, ["r", "c", "s"]).groupBy("r", "t").agg(F.sum("gain").alias("gain"), F.count(F.lit(1)).alias("n_scores"))
-    return per_target.join(base.join(weight, "r"), "r").select(
+    flow = cut(got.select("r", "c", "s", w.alias("w"), ((plus - minus) / F.greatest(F.lit(1), F.col("n") - 1)).alias("phi")))
+    none = F.col("s").isNull()
+    base = flow.groupBy("r", "c").agg(F.max("w").alias("w"), F.max(F.when(none, F.col("phi"))).alias("phi0")).groupBy("r").agg(
+        F.sum("w").alias("total"),
+        F.sum(F.coalesce(F.col("w") * F.col("phi0"), F.lit(0.0))).alias("absent"),
+        F.map_from_entries(F.collect_list(F.struct("c", F.coalesce("phi0", F.lit(0.0)).alias("phi0")))).alias("phi0"),
+    )
+    base = cut(base)
+    gain = skew_join(flow.where(~none), base.select("r", "phi0"), "r", heavy=heavy).select("r", "c", "s", (F.col("w") * (F.col("phi") - F.col("phi0")[F.col("c")])).alias("gain"))
+    # many targets may tie in a heavy request: there both sides are salted
+    hot = F.col("r").isin(heavy) if heavy else F.lit(False)
+    gain = gain.withColumn("salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    salted = best.withColumn("salt", F.when(hot, F.pmod(F.xxhash64("t"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)))
+    per_target = salted.join(gain, ["r", "c", "s", "salt"]).groupBy("r", "t").agg(F.sum("gain").alias("gain"), F.count(F.lit(1)).alias("n_scores"))
+    return skew_join(per_target, base.select("r", "total", "absent"), "r", heavy=heavy).select(
         F.col("r").alias(request), F.col("t").alias(target), ((F.col("gain") + F.col("absent")) / F.col("total")).alias("flow"), "n_scores"
     )
 

@@ -43,6 +43,16 @@ def test_net_flow_equals_brute_force(spark, threshold):
     assert outranking.net_flow(df.limit(0)).count() == 0
 
 
+def test_net_flow_of_a_heavy_request_with_ties(spark):
+    g = random.Random(2)
+    rows = [(1, f"t{i}", c, float(g.choice([0, 0, 0, 1, 2]))) for i in range(150) for c in "ab" if g.random() < 0.8]
+    rows += [(r, f"t{i}", "a", g.random()) for r in range(2, 30) for i in range(4)]
+    df = spark.createDataFrame(rows, "request_id int, target string, channel string, score double")
+    got = {(r[0], r[1]): r[2] for r in outranking.net_flow(df).collect()}
+    want = brute_flow(rows, 0.5)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
 # -- files that do not parse
 GOOD = {
     "python": "def f(a, *, b=1):\n    return {x: y for x, y in a}\n",
