@@ -8,19 +8,25 @@ documents fall into segments with a language and a confidence.
 
 from __future__ import annotations
 
+import hashlib
+import pickle
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodespark.session import spread
 
-#: The training sample: documents per language, characters of each, and the least share of a label to be learnt.
-SAMPLE_DOCS, SAMPLE_CHARS, LEAST_SHARE = 400, 4000, 0.005
+#: The training sample: documents per language and characters of each.
+SAMPLE_DOCS, SAMPLE_CHARS = 400, 4000
+#: Labels of this share of the labelled documents are learnt as they are. A rarer label is learnt if it has LEAST_DOCS
+#: documents and no more than KNOWN of their words occur under the common labels: else it is a wrong label of theirs.
+COMMON_SHARE, LEAST_DOCS, KNOWN = 0.005, 4, 0.6
 #: The network: hidden units a direction; training windows in bytes, windows a batch, batches before and after cleaning.
 HIDDEN, WINDOW, BATCH, FIRST, SECOND = 32, 48, 128, 180, 400
 #: Bytes of one stretch that inference runs over; longer sentences are cut in several.
@@ -36,7 +42,14 @@ nb nob|nn nno|fi fin finnish|cs ces cze czech|sk slk slo slovak|hu hun hungarian
 el ell gre greek|he heb hebrew|hi hin hindi|id ind indonesian|ms msa may malay|vi vie vietnamese|th tha thai|fa fas per persian|ca cat catalan
 hr hrv croatian|sr srp serbian|sl slv slovenian|et est estonian|lv lav latvian|lt lit lithuanian|ga gle irish|eu eus baq basque|gl glg galician
 """.strip()
-_CODES = {w: line.split()[0] for row in LANGUAGES.split("\n") for line in row.split("|") for w in line.split()}
+# All two-letter codes of ISO 639.
+CODES = (
+    "aa ab ae af ak am an ar as av ay az ba be bg bi bm bn bo br bs ca ce ch co cr cs cu cv cy da de dv dz ee el en eo es et eu fa ff fi fj fo fr fy "
+    "ga gd gl gn gu gv ha he hi ho hr ht hu hy hz ia id ie ig ii ik io is it iu ja jv ka kg ki kj kk kl km kn ko kr ks ku kv kw ky la lb lg li ln lo lt lu lv "
+    "mg mh mi mk ml mn mr ms mt my na nb nd ne ng nl nn no nr nv ny oc oj om or os pa pi pl ps pt qu rm rn ro ru rw sa sc sd se sg si sk sl sm sn so sq sr ss st su sv sw "
+    "ta te tg th ti tk tl tn to tr ts tt tw ty ug uk ur uz ve vi vo wa wo xh yi yo za zh zu"
+).split()
+_CODES = {c: c for c in CODES} | {w: line.split()[0] for row in LANGUAGES.split("\n") for line in row.split("|") for w in line.split()}
 
 _FENCE = re.compile(r"^[ \t]*(```|~~~)[^\n]*\n.*?(?:^[ \t]*\1[ \t]*$|\Z)", re.M | re.S)
 _INLINE = re.compile(r"(?<!`)`[^`\n]+`(?!`)")
@@ -170,9 +183,52 @@ class ByteGru:
             s = out[i] = new
         return np.concatenate([out[:, 0].transpose(1, 0, 2), out[::-1, 1].transpose(1, 0, 2)], 2)
 
+    def read(self, bytes_: np.ndarray) -> np.ndarray:
+        """What :meth:`states` gives, in fewer passes over memory: nothing is kept for training.
+
+        Signs and factors of the two activations are in the weights: 1 / (1 + exp(x)) of negated gates, and
+        2 / (1 + exp(x)) - 1 of the doubled and negated candidate.
+        """
+        n, t = bytes_.shape
+        h, p = self.h, self.p
+        scale = np.repeat(np.float32([-1, -1, -2]), h)
+        table = (p["x"] + p["b"]) * scale
+        gates, fresh = np.ascontiguousarray(-p["u"][:, :, : 2 * h]), np.ascontiguousarray(-2 * p["u"][:, :, 2 * h :])
+        both = np.stack([bytes_, bytes_[:, ::-1]])
+        whole = (both != 256).all(1)
+        s, x = np.zeros((2, n, h), np.float32), np.empty((2, n, 3 * h), np.float32)
+        g, c = np.empty((2, n, 2 * h), np.float32), np.empty((2, n, h), np.float32)
+        out = np.empty((t, 2, n, h), np.float32)
+        one = np.float32(1)
+        with np.errstate(over="ignore"):
+            for i in range(t):
+                for d in (0, 1):
+                    np.take(table[d], both[d, :, i], axis=0, out=x[d])
+                np.matmul(s, gates, out=g)
+                g += x[:, :, : 2 * h]
+                np.exp(g, out=g)
+                g += one
+                np.reciprocal(g, out=g)
+                z = g[:, :, :h]
+                np.matmul(g[:, :, h:] * s, fresh, out=c)
+                c += x[:, :, 2 * h :]
+                np.exp(c, out=c)
+                c += one
+                np.divide(np.float32(2), c, out=c)
+                c -= one
+                new = s - c
+                new *= z
+                new += c
+                for d in (0, 1):
+                    if not whole[d, i]:
+                        gone = both[d, :, i] == 256
+                        new[d, gone] = s[d, gone]
+                s = out[i] = new
+        return np.concatenate([out[:, 0].transpose(1, 0, 2), out[::-1, 1].transpose(1, 0, 2)], 2)
+
     def position_probabilities(self, bytes_: np.ndarray) -> np.ndarray:
         """Log-probabilities of the languages at every position."""
-        y = self.states(bytes_) @ self.p["o"] + self.p["c"]
+        y = self.read(bytes_) @ self.p["o"] + self.p["c"]
         y -= y.max(2, keepdims=True)
         return y - np.log(np.exp(y).sum(2, keepdims=True))
 
@@ -331,43 +387,95 @@ def segments(log_probs: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> tuple[list[str], dict] | None:
+def _tokens(sentence: str) -> Iterator[str]:
+    """The words of a sentence, and pairs of characters where words aren't parted."""
+    for w in sentence.lower().split():
+        if w[0] > "\u2fff":
+            yield from (w[i : i + 2] for i in range(len(w) - 1))
+        else:
+            yield w
+
+
+def learnable(by_label: dict[str, list[str]], common: set[str]) -> list[str]:
+    """The labels that stand for a language of their own: the common ones, and rarer ones with words that those don't have."""
+    seen = {w for k in common for x in by_label.get(k, []) for w in _tokens(x)}
+    out = [k for k in by_label if k in common]
+    for k in by_label.keys() - common:
+        words = [w for x in by_label[k] for w in _tokens(x)]
+        if words and sum(w in seen for w in words) <= KNOWN * len(words):
+            out.append(k)
+    return sorted(out)
+
+
+#: Networks that this session has trained, by a digest of their sample.
+_trained: dict[bytes, dict] = {}
+
+
+def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, weights: str | None = None) -> tuple[list[str], dict] | None:
     """Languages and a trained network from a bounded sample: SAMPLE_DOCS documents a label, SAMPLE_CHARS characters of each.
 
-    Labels that fewer than LEAST_SHARE of the labelled documents carry are taken for errors. None if nothing is labelled.
+    What was trained on the same sample before is taken from this session, or from the folder ``weights`` (any
+    file system), where it is kept. None if nothing is labelled. See COMMON_SHARE for the labels that are learnt.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), language_code(F.col(lang_col)).alias("l")).where(F.col("l").isNotNull() & (F.length(F.trim("t")) > 0))
     counts = {r[0]: r[1] for r in rows.groupBy("l").count().collect()}  # at most one row per known language
-    floor = max(2, LEAST_SHARE * sum(counts.values()))
-    names = sorted(k for k, c in counts.items() if c >= floor)
-    if not names:
+    common = {k for k, c in counts.items() if c >= max(2, COMMON_SHARE * sum(counts.values()))}
+    wanted = sorted(k for k, c in counts.items() if k in common or c >= LEAST_DOCS)
+    if not wanted:
         return None
     w = Window.partitionBy("l").orderBy(F.xxhash64("id"), "id")
-    sample = rows.where(F.col("l").isin(names)).select("id", "l", F.substring("t", 1, SAMPLE_CHARS).alias("t")).withColumn("k", F.row_number().over(w)).where(F.col("k") <= SAMPLE_DOCS)
-    texts, labels, docs_of = [], [], []
-    for number, r in enumerate(sample.select("l", "t", "k").orderBy("l", "k").collect()):
-        for s in sentences(r["t"]):
-            texts.append(s)
-            labels.append(names.index(r["l"]))
-            docs_of.append(number)
+    sample = rows.where(F.col("l").isin(wanted)).select("id", "l", F.substring("t", 1, SAMPLE_CHARS).alias("t")).withColumn("k", F.row_number().over(w)).where(F.col("k") <= SAMPLE_DOCS)
+    read = [(r["l"], number, sentences(r["t"])) for number, r in enumerate(sample.select("l", "t", "k").orderBy("l", "k").collect())]
+    by_label: dict[str, list[str]] = {}
+    for label, _, parts in read:
+        by_label.setdefault(label, []).extend(parts)
+    names = learnable(by_label, common)
+    read = [(label, number, parts) for label, number, parts in read if label in names]
+    texts = [x for _, _, parts in read for x in parts]
     if not texts:
         return None
-    return names, train(texts, labels, docs_of, [counts[k] for k in names]).dump()
+    labels = [names.index(label) for label, _, parts in read for _ in parts]
+    docs_of = [number for _, number, parts in read for _ in parts]
+    shares = [counts[k] for k in names]
+    made_of = (names, shares, FIRST, SECOND, HIDDEN, WINDOW, BATCH, texts, labels, docs_of)
+    key = hashlib.sha256(pickle.dumps(made_of)).hexdigest()
+    if key not in _trained:
+        kept = _load(spark, f"{weights}/{key}") if weights else None
+        _trained[key] = kept or train(texts, labels, docs_of, shares).dump()
+        if weights and not kept:
+            _save(spark, f"{weights}/{key}", _trained[key])
+    return names, _trained[key]
+
+
+def _save(spark, path: str, net: dict) -> None:
+    rows = [(k, list(v.shape), bytearray(v.tobytes())) for k, v in net["p"].items()]
+    spark.createDataFrame(rows, "name string, shape array<int>, data binary").coalesce(1).write.mode("ignore").parquet(path)
+
+
+def _load(spark, path: str) -> dict | None:
+    try:
+        rows = spark.read.parquet(path).collect()
+    except AnalysisException:
+        return None
+    p = {r["name"]: np.frombuffer(bytes(r["data"]), np.float32).reshape(r["shape"]).copy() for r in rows}
+    return {"h": p["u"].shape[1], "p": p}
 
 
-def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """One row per document and stretch of sentences in one language: id, label (code or null), segment, language, sentences, confidence.
+def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", weights: str | None = None) -> DataFrame:
+    """One row per document and stretch of sentences in one language: id, label (code or null), segment, language, sentences, confidence, pooled.
 
-    Texts without prose (null, empty, code only) have no row. Repeated rows are all labelled. Where no
+    ``confidence`` is the segment's probability of its language; ``pooled`` that of the whole document, the mean
+    over all its bytes of the probabilities of their sentences. ``weights``: see :func:`fit`. Texts without prose (null, empty, code only) have no row. Repeated rows are all labelled. Where no
     document carries a known label nothing can be learnt and the result is empty.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, label string, segment int, language string, sentences int, confidence double"
-    fitted = fit(docs, id_col, text_col, lang_col)
+    schema = f"`{id_col}` {kind}, label string, segment int, language string, sentences int, confidence double, pooled double"
+    fitted = fit(docs, id_col, text_col, lang_col, weights)
     if fitted is None:
         return docs.sparkSession.createDataFrame([], schema)
-    names, weights = fitted
-    sent = docs.sparkSession.sparkContext.broadcast(weights)
+    names, net = fitted
+    sent = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = ByteGru.load(sent.value)
@@ -382,37 +490,37 @@ def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
                     new = list(dict.fromkeys(s for d in split for s in d))
                 if new:
                     known.update(zip(new, net.log_pooled(new)))
-                rows: list[list] = [[], [], [], [], [], []]
+                rows: list[list] = [[], [], [], [], [], [], []]
                 for doc, label, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), split):
                     if not parts:
                         continue
                     p = np.stack([known[s] for s in parts])
                     lang = segments(p)
+                    size = np.array([len(x.encode("utf-8", "replace")) for x in parts], float)
+                    pooled = size @ np.exp(p) / size.sum()
                     edge = [0, *(np.flatnonzero(lang[1:] != lang[:-1]) + 1).tolist(), len(lang)]
                     for k, (a, b) in enumerate(zip(edge, edge[1:])):
                         q = p[a:b].sum(0)
                         q = np.exp(q - q.max())
-                        for col, v in zip(rows, (doc, label, k, names[lang[a]], b - a, float(q[lang[a]] / q.sum()))):
+                        for col, v in zip(rows, (doc, label, k, names[lang[a]], b - a, float(q[lang[a]] / q.sum()), float(pooled[lang[a]]))):
                             col.append(v)
-                types = [batch.schema.field(0).type, pa.string(), pa.int32(), pa.string(), pa.int32(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, types)], names=[id_col, "label", "segment", "language", "sentences", "confidence"])
+                types = [batch.schema.field(0).type, pa.string(), pa.int32(), pa.string(), pa.int32(), pa.float64(), pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, types)], names=[id_col, "label", "segment", "language", "sentences", "confidence", "pooled"])
 
     rows = spread(docs.select(id_col, F.col(lang_col), F.col(text_col).cast("string")), id_col)
     return rows.withColumn(lang_col, language_code(F.col(lang_col))).mapInArrow(run, schema)
 
 
-def document_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """id, label, language, sentences, confidence: the languages that count in each document.
+def document_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", weights: str | None = None) -> DataFrame:
+    """id, label, language, sentences, confidence: the languages that count in each document; ``confidence`` is the document's pooled probability.
 
     A language counts if it is the only one or has at least LEAST_SENTENCES sentences; if none has, the one
-    with most sentences (then the surest, then the first by name) does.
+    with the highest pooled probability (then the first by name) does.
     """
-    per = languages(docs, id_col, text_col, lang_col).groupBy(id_col, "label", "language").agg(
-        F.sum("sentences").alias("sentences"), (F.sum(F.col("confidence") * F.col("sentences")) / F.sum("sentences")).alias("confidence")
-    )
-    w = Window.partitionBy(id_col)
-    order = w.orderBy(F.col("sentences").desc(), F.col("confidence").desc(), "language")
-    return per.withColumn("place", F.row_number().over(order)).where((F.col("place") == 1) | (F.col("sentences") >= LEAST_SENTENCES)).drop("place")
+    per = languages(docs, id_col, text_col, lang_col, weights).groupBy(id_col, "label", "language").agg(F.sum("sentences").alias("sentences"), F.max("pooled").alias("confidence"))
+    enough = F.col("sentences") >= LEAST_SENTENCES
+    w = Window.partitionBy(id_col).orderBy(enough.desc(), F.col("confidence").desc(), "language")
+    return per.withColumn("place", F.row_number().over(w)).where((F.col("place") == 1) | enough).drop("place")
 
 
 def wrong_labels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

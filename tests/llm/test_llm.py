@@ -394,6 +394,40 @@ def test_wrong_labels(spark, monkeypatch):
     assert language.wrong_labels(df.limit(0)).count() == 0
 
 
+def test_reading_equals_the_states_of_training():
+    g = np.random.default_rng(1)
+    net = language.ByteGru(3, hidden=5)
+    x = g.integers(0, 256, (6, 9))
+    x[2, 3:] = x[4, 8:] = 256
+    assert np.allclose(net.read(x), net.states(x), atol=1e-5)
+
+
+def test_rare_labels_are_learnt_if_their_words_are_their_own():
+    en = ["the file is read once before the next run"] * 50
+    pl = ["plik jest czytany tylko raz przed nastepnym uruchomieniem"] * 4
+    assert language.learnable({"en": en, "pl": pl, "sv": en[:4]}, {"en"}) == ["en", "pl"]
+    ja = ["毎晩の処理は古い行を削除する", "処理は新しい表を作る"] * 20
+    assert language.learnable({"ja": ja, "ko": ja[:3], "zh": ["我们需要更多的时间来完成这个任务"]}, {"ja"}) == ["ja", "zh"]
+
+
+def test_a_rare_language_is_answered_and_weights_are_kept(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(language, "FIRST", 60)
+    monkeypatch.setattr(language, "SECOND", 80)
+    en = "The file is read once before the next run. It was decided that this stays the way it was. Nobody knows why the table was lost."
+    pl = "Plik jest czytany tylko raz przed kolejnym uruchomieniem. Nikt nie wie dlaczego tabela została utracona. Trzeba to jeszcze dokładnie zmierzyć."
+    docs = [(i, en, "en") for i in range(1200)] + [(2000 + i, pl, "pl") for i in range(5)] + [(3000, pl, None), (3001, en, "sv")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, lang string")
+    assert 5 < language.COMMON_SHARE * 1200
+    kept = str(tmp_path / "weights")
+    got = {(r["doc_id"], r["language"]): r["confidence"] for r in language.document_languages(df, weights=kept).where("doc_id >= 2000").collect()}
+    assert set(got) == {(i, "pl") for i in (*range(2000, 2005), 3000)} | {(3001, "en")} and min(got.values()) > 0.5
+    names, net = language.fit(df, "doc_id", "text", "lang")
+    monkeypatch.setattr(language, "_trained", {})
+    monkeypatch.setattr(language, "train", None)  # it must be read, not trained
+    again = language.fit(df, "doc_id", "text", "lang", kept)
+    assert again[0] == names and all(np.array_equal(again[1]["p"][k], v) for k, v in net["p"].items())
+
+
 def test_registered_queries_run(spark, sf):
     from lodespark.llm.queries import QUERIES
 
