@@ -28,12 +28,16 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def coverage(imports: DataFrame) -> DataFrame:
-    """One row: imports, internal, external, unresolved, internal_share (of all, 0 if there are none)."""
-    r, n = F.col("resolution"), F.count(F.lit(1))
-    return imports.agg(
-        n.alias("imports"), F.count_if(r == "internal").alias("internal"), F.count_if(r == "external").alias("external"),
-        F.count_if(F.coalesce(r, F.lit("unresolved")) == "unresolved").alias("unresolved"),
-    ).withColumn("internal_share", F.coalesce(F.col("internal") / F.nullif("imports", F.lit(0)), F.lit(0.0)))
+    """One row: imports, internal (with a target), external, unresolved, internal_pct = 100 internal / (internal + unresolved).
+
+    ``imports``: to_file_id, resolution. External imports don't count in the percentage; it is null if there is nothing to resolve.
+    """
+    r = F.col("resolution")
+    counts = imports.agg(
+        F.count(F.lit(1)).alias("imports"), F.count_if(F.col("to_file_id").isNotNull()).alias("internal"),
+        F.count_if(r == "external").alias("external"), F.count_if(r == "unresolved").alias("unresolved"),
+    )
+    return counts.withColumn("internal_pct", F.round(100 * F.col("internal") / F.nullif(F.col("internal") + F.col("unresolved"), F.lit(0)), 1))
 
 
 def pagerank(edges: DataFrame, rounds: int = 40, damping: float = 0.85, tolerance: float = 1e-9) -> DataFrame:

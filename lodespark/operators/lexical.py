@@ -21,15 +21,25 @@ def lexical_scores(index: DataFrame, query: Sequence[str], base: float, step: fl
     return hits.withColumn("score", F.least(F.lit(most), base + step * F.col("n_matched")))
 
 
-def symbol_scores(symbols: DataFrame, query: Sequence[str], bonus_kinds: Sequence[str] = ("function", "method", "class")) -> DataFrame:
-    """Lexical scores of symbols: 0.8 + 0.5 a token, 1.0 for an exact name, 1.2 with a wanted kind, at most 4.0. ``symbols``: id, kind, name, qualname."""
-    said = F.array(*[F.lit(q) for q in query])
+# Names that are no evidence although they are said exactly.
+GENERIC_NAMES = ("chars", "class", "code", "context", "file", "source", "stats", "test")
+
+
+def symbol_scores(symbols: DataFrame, query: Sequence[str], bonus: float = 0.0) -> DataFrame:
+    """id, n_matched, score of symbols that share a token with the query. ``symbols``: id, kind, name, qualname.
+
+    score = 0.8 + 0.5 a token, 1.0 more if the query holds the whole name (without underscores at its ends; names
+    such as "file" don't count), 1.2 more if it names the symbol's kind, and ``bonus``; at most 4.0 + ``bonus``.
+    """
+    said = F.array(*[F.lit(q) for q in query]) if query else F.array().cast("array<string>")
     tokens = text.name_tokens(F.concat_ws(" ", "kind", "qualname", "name"))
     n = F.size(F.array_intersect(tokens, said))
-    exact = F.array_contains(said, F.lower("name"))
-    kind = F.lower(F.trim("kind")).isin(list(bonus_kinds))
-    score = 0.8 + 0.5 * n + F.when(exact, 1.0).otherwise(0.0) + F.when(kind, 0.2).otherwise(0.0)
-    return symbols.where(F.col("id").isNotNull()).select("id", n.cast("bigint").alias("n_matched"), F.least(F.lit(4.0), score).alias("score")).where(F.col("n_matched") > 0).distinct()
+    name = F.lower(F.regexp_replace("name", "^_+|_+$", ""))
+    exact = F.array_contains(said, name) & ~name.isin(*GENERIC_NAMES)
+    kind = F.array_contains(said, F.lower(F.trim("kind")))
+    score = 0.8 + 0.5 * n + F.when(exact, 1.0).otherwise(0.0) + F.when(kind, 1.2).otherwise(0.0) + bonus
+    rows = symbols.where(F.col("id").isNotNull()).select("id", n.cast("bigint").alias("n_matched"), F.least(F.lit(4.0 + bonus), score).alias("score"))
+    return rows.where(F.col("n_matched") > 0).distinct()
 
 
 def literal_content(files: DataFrame, tokens: Sequence[str], id_col: str = "file_id", body: str = "body", largest: int = 262_144) -> DataFrame:
@@ -40,9 +50,14 @@ def literal_content(files: DataFrame, tokens: Sequence[str], id_col: str = "file
     return rows.withColumn("score", F.least(F.lit(2.5), 1.15 + 0.45 * F.col("n_found")))
 
 
+def once(rows: DataFrame, id_col: str, body: str) -> DataFrame:
+    """Repeated rows once: they are told by id and a hash of the body, so bodies are moved once and never compared."""
+    return rows.groupBy(id_col, F.xxhash64(body).alias("_hash")).agg(F.min(body).alias(body)).drop("_hash")
+
+
 def grep(files: DataFrame, needle: str, id_col: str = "file_id", body: str = "body", lines: int = 5) -> DataFrame:
     """Literal search: id, matches (non-overlapping occurrences), first_lines (up to ``lines`` numbers of lines that hold it)."""
-    hit = files.where(F.col(body).contains(needle)).select(F.col(id_col).alias("id"), F.col(body).alias("b")).distinct()
+    hit = once(files.where(F.col(body).contains(needle)).select(F.col(id_col).alias("id"), F.col(body).alias("b")), "id", "b")
     matches = ((F.length("b") - F.length(F.replace("b", F.lit(needle)))) / len(needle)).cast("bigint")
     rows = F.split("b", "\n")
     numbers = F.filter(F.transform(rows, lambda x, i: F.when(x.contains(needle), i + 1)), lambda x: x.isNotNull())

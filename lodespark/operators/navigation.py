@@ -59,20 +59,47 @@ def overview(files: DataFrame) -> DataFrame:
     )
 
 
+# Words of test conventions, and names of a file's role instead of its subject.
+TEST_WORDS = ("test", "tests", "spec", "specs", "it", "should")
+ROLE_NAMES = (
+    "__init__", "__main__", "index", "main", "mod", "app", "lib", "setup", "types", "utils", "helpers", "common", "base", "core", "conftest",
+)
+
+
+def file_stem(path: Column) -> Column:
+    """The file name without its last extension, letter case kept."""
+    return F.regexp_replace(text.base_name(path), r"(?<=.)\.[^.]*$", "")
+
+
+def tested_names(base: Column) -> Column:
+    """The lower-case stems that a test's file name (without extension) stands for by convention."""
+    low = F.lower(base)
+    cut_off = [F.nullif(F.regexp_extract(low, p, 1), F.lit("")) for p in (r"^test_(.+)$", r"^(.+)_test$", r"^(.+)_spec$", r"^(.+)\.test$", r"^(.+)\.spec$", r"^(.+)test$", r"^(.+)tests$", r"^(.+)spec$")]
+    return F.array_distinct(F.filter(F.array(*cut_off), lambda x: x.isNotNull()))
+
+
 def find_tests(files: DataFrame, targets: DataFrame, imports: DataFrame) -> DataFrame:
-    """target_id, test_id, score: tests of a file by the naming convention (3.0) and by importing it (1.0), summed.
+    """target_id, test_id, score: tests of a file, found within its repository (the first path segment).
 
-    ``files``: id, path; ``targets``: id; ``imports``: from_file_id, to_file_id.
+    Named for it by convention 3.0, else all words of its name in the test's name 2.0, and 1.0 more for
+    each row of ``imports`` (from_file_id, to_file_id; repeated rows count once) from the test to the file. ``files``: id, path; ``targets``: id. The words of a file
+    meet only the tests that hold its rarest word.
     """
-    f = files.select("id", text.plain_path(F.col("path")).alias("path")).where(F.col("path").isNotNull()).distinct()
-    stem = F.regexp_extract(text.base_name(F.col("path")), r"^([^.]*)", 1)
-    tests = f.where(text.looks_like_test(F.col("path"))).select(F.col("id").alias("test_id"), F.lower(F.regexp_replace(stem, r"^test_|_test$|_spec$|Tests?$|Specs?$", "")).alias("stem"))
-    wanted = f.join(targets.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("target_id"), F.lower(stem).alias("stem"))
-    by_name = wanted.join(tests, "stem").select("target_id", "test_id", F.lit(3.0).alias("s"))
-    i = imports.select(F.col("from_file_id").alias("test_id"), F.col("to_file_id").alias("target_id")).distinct()
+    f = files.where(F.col("id").isNotNull() & F.col("path").isNotNull()).groupBy("id").agg(F.max(text.plain_path(F.col("path"))).alias("path"))
+    f = f.withColumn("repo", F.split("path", "/")[0]).withColumn("stem", file_stem(F.col("path")))
+    words = F.array_except(text.search_tokens(F.col("stem")), F.array(*map(F.lit, TEST_WORDS)))
+    tests = f.where(text.looks_like_test(F.col("path"))).select(F.col("id").alias("test_id"), "repo", tested_names(F.col("stem")).alias("names"), words.alias("test_words"))
+    wanted = f.join(targets.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("target_id"), "repo", F.lower("stem").alias("stem"), words.alias("words"))
+    named = tests.select("test_id", "repo", F.explode("names").alias("stem")).join(wanted, ["repo", "stem"]).select("target_id", "test_id", F.lit(3.0).alias("s"))
+    held = tests.select("test_id", "repo", "test_words", F.explode("test_words").alias("word"))
+    often = held.groupBy("repo", "word").agg(F.count(F.lit(1)).alias("n"))
+    asked = wanted.where(~F.col("stem").isin(*ROLE_NAMES) & (F.size("words") > 0)).select("target_id", "repo", "words", F.explode("words").alias("word"))
+    rarest = asked.join(often, ["repo", "word"]).groupBy("target_id").agg(F.min(F.struct("n", "word", "repo", "words")).alias("r")).select("target_id", "r.repo", "r.word", "r.words")
+    alike = rarest.join(held, ["repo", "word"]).where(F.size(F.array_except("words", "test_words")) == 0).select("target_id", "test_id", F.lit(2.0).alias("s"))
+    names = named.unionByName(alike).groupBy("target_id", "test_id").agg(F.max("s").alias("s"))
+    i = imports.distinct().select(F.col("from_file_id").alias("test_id"), F.col("to_file_id").alias("target_id")).where(F.col("target_id").isNotNull())
     by_import = i.join(tests.select("test_id"), "test_id", "left_semi").join(wanted.select("target_id"), "target_id", "left_semi").select("target_id", "test_id", F.lit(1.0).alias("s"))
-    both = by_name.distinct().unionByName(by_import).where(F.col("target_id") != F.col("test_id"))
-    return both.groupBy("target_id", "test_id").agg(F.sum("s").alias("score"))
+    return names.unionByName(by_import).groupBy("target_id", "test_id").agg(F.sum("s").alias("score"))
 
 
 def index_status(files: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:

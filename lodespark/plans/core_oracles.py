@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from lodespark.functions.text import NAME_ALIASES, NAME_STOPWORDS, PROFILE_STOPWORDS, TEST_ENDINGS
 from lodespark.operators.ranking import CALIBRATION
-from lodespark.sources.tree import _BY_EXT
+from lodespark.sources.tree import LANGUAGE_BY_EXTENSION
 
 
 def _r(x: str, name: str, digits: int = 6) -> str:
@@ -53,6 +53,15 @@ def _name_tokens(body: str) -> str:
     return f"list_distinct(list_concat(list_filter({raw}, lambda t: NOT list_contains({_list(NAME_STOPWORDS)}, t)), flatten(list_transform({raw}, lambda t: CASE t {alias} ELSE [] END))))"
 
 
+def _camel_tokens(body: str) -> str:
+    """The same for names of any case: an upper-case run ends before another capital or at the end of its piece."""
+    split = "string_split(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(p, '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g'), '([a-z])([A-Z0-9])', '\\1 \\2', 'g'), '([0-9])([A-Za-z])', '\\1 \\2', 'g'), '[A-Z]([0-9])', ' \\1', 'g')), ' ')"
+    words = f"regexp_extract_all(regexp_replace({body}, '[-./]', '_', 'g'), '[A-Za-z][A-Za-z0-9_]{{2,}}')"
+    raw = f"list_distinct(list_filter(list_transform(flatten(list_transform(flatten(list_transform({words}, lambda w: string_split(w, '_'))), lambda p: {split})), lambda t: lower(t)), lambda t: length(t) >= 3))"
+    alias = " ".join(f"WHEN '{k}' THEN {_list(v)}" for k, v in NAME_ALIASES.items())
+    return f"list_distinct(list_concat(list_filter({raw}, lambda t: NOT list_contains({_list(NAME_STOPWORDS)}, t)), flatten(list_transform({raw}, lambda t: CASE t {alias} ELSE [] END))))"
+
+
 EVENTS = """
 e AS (
   SELECT user_id AS session, event_id AS id, ts AS tm, props->>'$.k' AS target,
@@ -124,28 +133,25 @@ fused AS (
 
 EDGES = "ed AS (SELECT DISTINCT from_file_id AS src, to_file_id AS dst FROM ci_imports WHERE resolution = 'internal' AND to_file_id IS NOT NULL AND from_file_id <> to_file_id)"
 NODES = EDGES + ", nd AS (SELECT src AS node FROM ed UNION SELECT dst FROM ed)"
-ORDER_EDGES = """
-oe AS (SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst, l_quantity FROM lineitem)
-  WHERE l_quantity >= 49 AND dst IS NOT NULL AND src <> dst)
-"""
 PR = " ".join(
     f""", pr{i} AS MATERIALIZED (
   SELECT node, 0.15 / n + 0.85 * (coalesce(got, 0) + loose / n) AS rank FROM nd LEFT JOIN (SELECT dst, sum(rank / o) AS got FROM ed JOIN pr{i - 1} ON node = src JOIN od USING (src) GROUP BY dst) ON dst = node,
     (SELECT count(*) AS n FROM nd), (SELECT coalesce(sum(rank), 0) AS loose FROM pr{i - 1} WHERE node NOT IN (SELECT src FROM ed)))"""
-    for i in range(1, 9)
+    for i in range(1, 41)
 )
 WALK = " ".join(
     f""", w{i} AS MATERIALIZED (SELECT node, sum(score) AS score FROM (
   SELECT st.dst AS node, st.p * w.score * 0.8 AS score FROM st JOIN w{i - 1} w ON w.node = st.src UNION ALL SELECT node, s * 0.2 FROM seed) GROUP BY node)"""
     for i in range(1, 4)
 )
-_EXT = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _BY_EXT.items())
+_EXT = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LANGUAGE_BY_EXTENSION.items())
 _ENDS = " OR ".join(f"ends_with(low, '{e}')" for e in TEST_ENDINGS)
 LOOKS_LIKE_TEST = f"""(len(list_intersect(string_split(lower(path), '/'), ['test', 'tests', 'spec', '__tests__'])) > 0 OR starts_with(low, 'test_') OR {_ENDS}
   OR regexp_matches(name, '(Test|Tests|Spec|Specs)\\.(java|cs|kt|kts|JAVA|CS|KT|KTS|Java)$'))"""
 PATHS = "SELECT *, regexp_extract(path, '([^/]*)$', 1) AS name, lower(regexp_extract(path, '([^/]*)$', 1)) AS low"
-QV = "q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 7)"
-SIMS = QV + ", sims AS (SELECT vec_id AS id, list_dot_product(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])) / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) * list_dot_product(CAST(q AS DOUBLE[]), CAST(q AS DOUBLE[]))) AS sim FROM embeddings, q)"
+_DOT = "list_dot_product(CAST({} AS DOUBLE[]), CAST({} AS DOUBLE[]))"
+SIMS = f"""qs AS (SELECT DISTINCT vec_id AS query, embedding AS q, label FROM embeddings WHERE vec_id % 20 = 0),
+sims AS (SELECT query, vec_id AS id, {_DOT.format("embedding", "q")} / sqrt({_DOT.format("embedding", "embedding")} * {_DOT.format("q", "q")}) AS sim FROM embeddings, qs)"""
 
 _TERMS3 = ["catch", "items", "return"]
 BM25 = (
@@ -175,17 +181,23 @@ y AS (SELECT *, n + 1000.0 * tn / an AS nt, tn - n + 1000.0 * tn / an AS rt FROM
 z AS (SELECT kind, term, n, gn, (ln(nt / (gn + 1000.0 - nt)) - ln(rt / (an - gn + 1000.0 - rt))) / sqrt(1 / nt + 1 / rt) AS z FROM y WHERE gn + 1000.0 - nt > 0 AND an - gn + 1000.0 - rt > 0 AND rt > 0)
 SELECT kind, term, n, {_r("z", "z", 4)}, CASE WHEN gn >= 200 THEN 'strong' WHEN gn >= 40 THEN 'moderate' ELSE 'thin' END AS evidence FROM z WHERE z > 0
 """,
-    "shared_key_edges": f"""
+    "shared_key_edges": """
 WITH r AS (SELECT DISTINCT from_file_id AS note, to_file_id AS key FROM ci_imports WHERE resolution = 'internal' AND to_file_id IS NOT NULL),
 t AS (SELECT count(DISTINCT note) AS total FROM r),
-k AS (SELECT key, ln(total::DOUBLE / df) AS idf FROM (SELECT key, count(*) AS df FROM r GROUP BY key), t WHERE df > 1 AND df <= 20 AND (total < 8 OR df <= 0.5 * total))
-SELECT x.note AS src, y.note AS dst, count(*) AS n, {_r("1 - power(0.5, sum(idf))", "weight")} FROM r x JOIN k USING (key) JOIN r y USING (key) WHERE x.note < y.note GROUP BY 1, 2
+k AS (SELECT key, CASE WHEN total < 8 THEN 1.0 ELSE ln((total + 1) / (df + 0.5)) END AS idf FROM (SELECT key, count(*) AS df FROM r GROUP BY key), t WHERE df > 1 AND (total < 8 OR df <= 0.5 * total))
+SELECT x.note AS src, y.note AS dst, count(*) AS n, round(round(1 - power(0.5, sum(idf)), 4) + 1e-9, 6) AS weight FROM r x JOIN k USING (key) JOIN r y USING (key) WHERE x.note < y.note GROUP BY 1, 2
 """,
     "name_postings": f"SELECT DISTINCT unnest({_name_tokens(chr(39).join(['p_type || ', ' ', ' || p_name']))}) AS token, p_partkey AS id FROM part",
     "lexical_items": f"""
 WITH i AS (SELECT DISTINCT unnest({_name_tokens("p_name")}) AS token, p_partkey AS id FROM part),
 w AS (SELECT token FROM i GROUP BY token ORDER BY count(*) DESC, token LIMIT 3)
 SELECT id, count(*) AS n_matched, least(1.4, 0.6 + 0.4 * count(*))::DOUBLE AS score FROM i WHERE token IN (SELECT token FROM w) GROUP BY id
+""",
+    "symbol_scores": f"""
+WITH t AS (SELECT id, kind, name, list_intersect({_camel_tokens("concat_ws(' ', kind, qualname, name)")}, ['ledger', 'cache', 'merge', 'method']) AS hit FROM ci_symbols WHERE id IS NOT NULL)
+SELECT DISTINCT id, CAST(len(hit) AS BIGINT) AS n_matched, round(least(4.0, 0.8 + 0.5 * len(hit)
+  + CASE WHEN lower(regexp_replace(name, '^_+|_+$', '', 'g')) IN ('ledger', 'cache', 'merge', 'method') THEN 1.0 ELSE 0 END
+  + CASE WHEN lower(trim(kind)) IN ('ledger', 'cache', 'merge', 'method') THEN 1.2 ELSE 0 END)::DOUBLE + 1e-9, 3) AS score FROM t WHERE len(hit) > 0
 """,
     "grep_literal": """
 WITH d AS (SELECT DISTINCT file_id AS id, body FROM fts_files WHERE contains(body, 'ledger'))
@@ -198,12 +210,14 @@ WITH d AS (SELECT DISTINCT file_id AS id, CAST(contains(lower(body), 'ledger') A
 SELECT id, CAST(n AS BIGINT) AS n_found, round(least(2.5, 1.15 + 0.45 * n)::DOUBLE + 1e-9, 3) AS score FROM d WHERE n > 0
 """,
     "bm25_rank": BM25,
-    "cosine_topk": f"WITH {SIMS} SELECT id, {_r('sim', 'sim')} FROM (SELECT * FROM sims ORDER BY sim DESC, id LIMIT 10)",
-    "fuzzy_scores": f"WITH {SIMS} SELECT id, {_r('(least(1.0, sim) - 0.1) * 4.5 / 0.9', 'score')} FROM sims WHERE least(1.0, sim) >= 0.1",
-    "adaptive_threshold": f"WITH {SIMS} SELECT {_r('least(0.45, greatest(0.22, avg(sim) + 1.5 * stddev_pop(sim)))', 'threshold')} FROM sims",
+    "cosine_topk": f"WITH {SIMS} SELECT query, id, {_r('sim', 'sim')} FROM sims QUALIFY row_number() OVER (PARTITION BY query ORDER BY sim DESC, id) <= 10",
+    "fuzzy_scores": f"WITH {SIMS} SELECT query, id, {_r('(least(1.0, sim) - 0.1) * 4.5 / 0.9', 'score')} FROM sims WHERE least(1.0, sim) >= 0.1",
+    "adaptive_threshold": f"WITH {SIMS} SELECT query, {_r('least(0.45, greatest(0.22, avg(sim) + 1.5 * stddev_pop(sim)))', 'threshold')} FROM sims GROUP BY query",
     "rank_fusion": f"""
-WITH {SIMS}, a AS (SELECT id, row_number() OVER (ORDER BY sim DESC, id) AS k FROM sims), b AS (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) AS k FROM embeddings WHERE label = 3)
-SELECT id, {_r("sum(1.0 / (60 + k)::DOUBLE)", "score", 8)} FROM (SELECT * FROM a WHERE k <= 50 UNION ALL SELECT * FROM b WHERE k <= 50) GROUP BY id
+WITH {SIMS}, a AS (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY sim DESC, id) AS k FROM sims),
+lb AS (SELECT label, vec_id AS id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM (SELECT DISTINCT vec_id, label FROM embeddings)),
+b AS (SELECT query, id, k FROM lb JOIN qs USING (label))
+SELECT query, id, {_r("sum(1.0 / (60 + k)::DOUBLE)", "score", 8)} FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1, 2
 """,
     "turn_numbers": f"WITH {TURNS} SELECT session, id, iteration, turn, CAST(distance AS BIGINT) AS distance FROM t",
     "pattern_classes": f"WITH {EVENTS}, {_patterns('e', 'pt')} SELECT * FROM pt",
@@ -215,10 +229,12 @@ SELECT target, count(DISTINCT session) AS df, n, {_r("CASE WHEN n < 5 THEN 1.0 E
 h AS (SELECT target, count(DISTINCT session) AS sessions FROM reactive WHERE session IN (SELECT session FROM u) AND target NOT IN ('3', '17', '42') GROUP BY target)
 SELECT target, sessions, {_r("0.8 * least(sessions / 5.0, 1.0)", "boost")} FROM h WHERE sessions >= 2 AND 0.8 * least(sessions / 5.0, 1.0) >= 0.3""",
     "dismissal_penalty": f"""WITH {EVENTS} SELECT target, count(DISTINCT session) AS dismissals, {_r("1.5 * least(count(DISTINCT session), 3) / 3.0", "penalty")}
-FROM e WHERE kind = 'dismissed' AND target IS NOT NULL AND session % 3 = 0 GROUP BY target""",
+FROM e WHERE kind = 'dismissed' AND target IS NOT NULL GROUP BY target""",
     "last_writer_wins": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
-    "retract_failed": f"""WITH {EVENTS} SELECT session, target, id FROM (SELECT *, lead(kind) OVER (PARTITION BY session, target ORDER BY tm, id) AS after FROM e)
-WHERE kind <> 'dismissed' AND coalesce(after, '') <> 'dismissed'""",
+    "retract_failed": f"""WITH {EVENTS}, a AS (SELECT *, sum(CASE WHEN kind = 'dismissed' THEN -1 ELSE 1 END) OVER w AS su FROM e WHERE target IS NOT NULL WINDOW w AS (PARTITION BY session, target ORDER BY tm, id ROWS UNBOUNDED PRECEDING)),
+b AS (SELECT *, su - least(0, min(su) OVER (PARTITION BY session, target ORDER BY tm, id ROWS UNBOUNDED PRECEDING)) AS high FROM a),
+c AS (SELECT *, min(high) OVER (PARTITION BY session, target ORDER BY tm, id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS low FROM b)
+SELECT session, target, id FROM c WHERE kind <> 'dismissed' AND coalesce(low, high) >= high UNION ALL SELECT session, target, id FROM e WHERE target IS NULL AND kind <> 'dismissed'""",
     "session_windows": """
 WITH a AS (SELECT user_id AS session, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) < 21600000000 THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 b AS (SELECT session, ts, sum(fresh) OVER (PARTITION BY session ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM a)
@@ -227,30 +243,30 @@ SELECT session, CAST(floor(epoch(min(ts))) AS BIGINT) AS started, CAST(floor(epo
     "merge_synergy": f"WITH {RANKED} SELECT request_id, target, {_r('max(score) + 0.5 * (count(*) - 1)', 'score', 4)}, count(*) AS n FROM ri GROUP BY 1, 2",
     "best_channel_row": f"WITH {RANKED} SELECT request_id, target, reason, ord FROM ri QUALIFY row_number() OVER (PARTITION BY request_id, target ORDER BY score DESC, ord) = 1",
     "logodds_fusion": f"WITH {_fused('true')} SELECT request_id, target, {_r('score', 'score')}, families FROM fused",
-    "rank_pipeline": f"""WITH {_fused("true")}, pa AS (SELECT *, lower(target) AS lt, regexp_extract(lower(target), '([^/]*)$', 1) AS nm FROM fused),
-bo AS (SELECT request_id, target, CASE WHEN regexp_matches(lt, '(^|/)tests?/') OR starts_with(nm, 'test_') OR ends_with(nm, '_test.py') OR contains(nm, '.test.') OR contains(nm, '.spec.') THEN score * 0.45 ELSE score + 0.3 END AS score FROM pa),
+    "rank_pipeline": f"""WITH {_fused("true")}, ask AS (SELECT item_id FROM eval_prompts WHERE regexp_matches(prompt, '(?i)\\b(implement(ed|ation|s)?|where\\s+is|where\\s+are|source|logic)\\b')
+  AND NOT regexp_matches(prompt, '(?i)\\b(test|tests|testing|failing|failure|pytest|spec)\\b')), pa AS (SELECT *, lower(target) AS lt, regexp_extract(lower(target), '([^/]*)$', 1) AS nm FROM fused),
+bo AS (SELECT request_id, target, CASE WHEN request_id % 240 + 1 NOT IN (SELECT item_id FROM ask) THEN score WHEN regexp_matches(lt, '(^|/)tests?/') OR starts_with(nm, 'test_') OR ends_with(nm, '_test.py') OR contains(nm, '.test.') OR contains(nm, '.spec.') THEN score * 0.45 ELSE score + 0.3 END AS score FROM pa),
 ok AS (SELECT request_id FROM bo GROUP BY 1 HAVING max(score) >= 1.5)
 SELECT request_id, target, {_r("score", "score")}, place FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, target) AS place FROM bo WHERE request_id IN (SELECT request_id FROM ok)) WHERE place <= 8""",
     "symbol_affinity": f"""WITH {_fused("target_type = 'symbol'")}, s AS (SELECT request_id, regexp_extract(target, '^.+ \\((.+):\\d+\\)$', 1) AS path, max(least(2.0, greatest(0.7, 0.35 * score))) AS boost FROM fused WHERE score >= 1.5 GROUP BY 1, 2)
 SELECT request_id, path, {_r("boost", "boost")} FROM s WHERE path <> '' QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY boost DESC, path) <= 8""",
     "import_affinity": f"""WITH {NODES}, dg AS (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM ed UNION ALL SELECT dst FROM ed) GROUP BY 1),
-an AS (SELECT DISTINCT dst AS node, 1.2 + dst / 100.0 AS score FROM ed WHERE dst BETWEEN 1 AND 99),
+an AS (SELECT DISTINCT dst AS node, 1.2 + dst / 100.0 AS score FROM ed WHERE dst % 20 = 0),
 nb AS (SELECT dst AS node, score FROM ed JOIN an ON an.node = src UNION ALL SELECT src, score FROM ed JOIN an ON an.node = dst)
 SELECT node, {_r("sum(greatest(0.4, 0.25 * score) * CASE WHEN degree <= 8 THEN 1.0 ELSE greatest(0.35, 8.0 / degree) END)", "boost")} FROM nb JOIN dg USING (node) GROUP BY node""",
-    "import_coverage": f"""WITH i AS (SELECT DISTINCT * FROM ci_imports)
-SELECT count(*) AS imports, count(*) FILTER (resolution = 'internal') AS internal, count(*) FILTER (resolution = 'external') AS external, count(*) FILTER (coalesce(resolution, 'unresolved') = 'unresolved') AS unresolved,
-{_r("count(*) FILTER (resolution = 'internal') / count(*)::DOUBLE", "internal_share")} FROM i""",
+    "import_coverage": """
+SELECT count(*) AS imports, count(to_file_id) AS internal, count(*) FILTER (resolution = 'external') AS external, count(*) FILTER (resolution = 'unresolved') AS unresolved,
+  round(100.0::DOUBLE * count(to_file_id) / nullif(count(to_file_id) + count(*) FILTER (resolution = 'unresolved'), 0), 1) AS internal_pct FROM (SELECT DISTINCT * FROM ci_imports)
+""",
     "import_degrees": f"WITH {NODES} SELECT node, count(*) AS degree FROM (SELECT src AS node FROM ed UNION ALL SELECT dst FROM ed) GROUP BY 1",
-    "blast_radius": f"""WITH RECURSIVE {EDGES}, r AS (SELECT DISTINCT dst AS node, 0 AS hop FROM ed WHERE dst BETWEEN 1 AND 20 UNION SELECT ed.src, hop + 1 FROM r JOIN ed ON ed.dst = r.node WHERE hop < 3)
+    "blast_radius": f"""WITH RECURSIVE {EDGES}, r AS (SELECT DISTINCT dst AS node, 0 AS hop FROM ed WHERE dst % 20 = 0 UNION SELECT ed.src, hop + 1 FROM r JOIN ed ON ed.dst = r.node WHERE hop < 3)
 SELECT node, CAST(min(hop) AS BIGINT) AS hop FROM r GROUP BY node""",
-    "pagerank": f"WITH {NODES}, od AS (SELECT src, count(*) AS o FROM ed GROUP BY 1), pr0 AS (SELECT node, 1.0::DOUBLE / (SELECT count(*) FROM nd) AS rank FROM nd){PR} SELECT node, {_r('rank', 'rank', 9)} FROM pr8",
+    "pagerank": f"WITH {NODES}, od AS (SELECT src, count(*) AS o FROM ed GROUP BY 1), pr0 AS (SELECT node, 1.0::DOUBLE / (SELECT count(*) FROM nd) AS rank FROM nd){PR} SELECT node, {_r('rank', 'rank', 7)} FROM pr40",
     "personalised_walk": f"""WITH {EDGES}, sy AS (SELECT src, dst, count(*)::DOUBLE AS w FROM (SELECT src, dst FROM ed UNION ALL SELECT dst, src FROM ed) GROUP BY 1, 2),
-st AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM sy), an AS (SELECT DISTINCT dst AS node, 1.0 + dst % 3 AS weight FROM ed WHERE dst BETWEEN 1 AND 20),
+st AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM sy), an AS (SELECT DISTINCT dst AS node, 1.0 + dst % 3 AS weight FROM ed WHERE dst % 20 = 0),
 seed AS (SELECT node, weight::DOUBLE / (SELECT sum(weight) FROM an) AS s FROM an), w0 AS (SELECT node, s AS score FROM seed){WALK} SELECT node, {_r("score", "score", 8)} FROM w3""",
     "components": f"""WITH RECURSIVE {NODES}, sy AS (SELECT src, dst FROM ed UNION SELECT dst, src FROM ed), r AS (SELECT node, node AS component FROM nd UNION SELECT sy.dst, r.component FROM r JOIN sy ON sy.src = r.node WHERE r.component < sy.dst)
 SELECT node, min(component) AS component FROM r GROUP BY node""",
-    "strong_components": f"""WITH RECURSIVE {ORDER_EDGES}, nd AS (SELECT src AS node FROM oe UNION SELECT dst FROM oe), r AS (SELECT src AS a, dst AS b FROM oe UNION SELECT r.a, oe.dst FROM r JOIN oe ON oe.src = r.b)
-SELECT node, least(node, coalesce(m, node)) AS component FROM nd LEFT JOIN (SELECT x.a, min(x.b) AS m FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY 1) ON a = node""",
     "modularity": f"""WITH {EDGES}, sy AS (SELECT src, dst FROM ed UNION SELECT dst, src FROM ed),
 c AS (SELECT src % 7 AS a, count(*) AS ends, count(*) FILTER (src % 7 = dst % 7) AS inside FROM sy GROUP BY 1)
 SELECT {_r("sum(inside)::DOUBLE / sum(ends) - sum(ends::DOUBLE * ends) / (sum(ends)::DOUBLE * sum(ends))", "q")} FROM c""",
@@ -262,6 +278,18 @@ QUALIFY row_number() OVER (PARTITION BY file_id, line ORDER BY line_end - line_s
     "project_overview": f"""
 WITH f AS (SELECT regexp_replace(path, '^(\\./)+', '') AS path, language, symbol_count FROM (SELECT DISTINCT ON (id) * FROM ci_files ORDER BY id, path DESC NULLS LAST, language DESC NULLS LAST, symbol_count DESC NULLS LAST)), g AS ({PATHS} FROM f)
 SELECT string_split(path, '/')[1] AS top, coalesce(lower(trim(language)), 'unknown') AS language, count(*) AS files, CAST(sum(coalesce(symbol_count, 0)) AS BIGINT) AS symbols, count(*) FILTER ({LOOKS_LIKE_TEST}) AS tests FROM g GROUP BY 1, 2
+""",
+    "find_tests": f"""
+WITH f0 AS (SELECT id, max(regexp_replace(path, '^(\\./)+', '')) AS path FROM ci_files WHERE id IS NOT NULL AND path IS NOT NULL GROUP BY id), f1 AS ({PATHS} FROM f0),
+f AS (SELECT *, string_split(path, '/')[1] AS repo, CASE WHEN length(name) > 1 AND contains(substr(name, 2), '.') THEN regexp_replace(name, '\\.[^.]*$', '') ELSE name END AS stem, {LOOKS_LIKE_TEST} AS is_test FROM f1),
+w AS (SELECT *, lower(stem) AS ls, list_filter(list_distinct(list_filter(string_split_regex(lower(regexp_replace(stem, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+'), lambda x: x <> '')),
+  lambda x: NOT list_contains(['test', 'tests', 'spec', 'specs', 'it', 'should'], x)) AS words FROM f),
+nm AS (SELECT a.id AS target_id, b.id AS test_id, 3.0 AS s FROM w a JOIN w b ON b.is_test AND a.repo = b.repo AND b.ls IN ('test_' || a.ls, a.ls || '_test', a.ls || '_spec', a.ls || '.test', a.ls || '.spec', a.ls || 'test', a.ls || 'tests', a.ls || 'spec')),
+tk AS (SELECT a.id AS target_id, b.id AS test_id, 2.0 AS s FROM w a JOIN w b ON b.is_test AND a.repo = b.repo AND len(a.words) > 0 AND len(list_intersect(a.words, b.words)) = len(a.words)
+  WHERE a.ls NOT IN ('__init__', '__main__', 'index', 'main', 'mod', 'app', 'lib', 'setup', 'types', 'utils', 'helpers', 'common', 'base', 'core', 'conftest')),
+n2 AS (SELECT target_id, test_id, max(s) AS s FROM (SELECT * FROM nm UNION ALL SELECT * FROM tk) GROUP BY 1, 2),
+im AS (SELECT i.to_file_id AS target_id, i.from_file_id AS test_id, 1.0 AS s FROM (SELECT DISTINCT id, from_file_id, to_file_id FROM ci_imports) i JOIN w a ON a.id = i.to_file_id JOIN w b ON b.id = i.from_file_id AND b.is_test)
+SELECT target_id, test_id, sum(s)::DOUBLE AS score FROM (SELECT * FROM n2 UNION ALL SELECT * FROM im) GROUP BY 1, 2
 """,
     "index_status": """
 SELECT (SELECT count(DISTINCT id) FROM ci_files) AS files, (SELECT count(DISTINCT id) FROM ci_files WHERE embedding IS NOT NULL) AS files_embedded, (SELECT count(DISTINCT id) FROM ci_symbols) AS symbols,

@@ -62,7 +62,7 @@ def lexical_items(s: SparkSession, sf: str) -> DataFrame:
 
 
 def symbol_scores(s: SparkSession, sf: str) -> DataFrame:
-    return lexical.symbol_scores(table(s, sf, "ci_symbols"), ["ledger", "cache", "merge"]).select("id", "n_matched", _r("score", 3))
+    return lexical.symbol_scores(table(s, sf, "ci_symbols"), ["ledger", "cache", "merge", "method"]).select("id", "n_matched", _r("score", 3))
 
 
 def grep_literal(s: SparkSession, sf: str) -> DataFrame:
@@ -185,11 +185,17 @@ def logodds_fusion(s: SparkSession, sf: str) -> DataFrame:
 
 
 def rank_pipeline(s: SparkSession, sf: str) -> DataFrame:
-    """Fusion, the intent boost, the gate and the first eight of each request."""
-    fused = cut(ranking.implementation_intent(ranking.log_odds_fusion(_ranked(s, sf))))
+    """Fusion, the intent boost where the request's prompt asks for it, the gate and the first eight of each request."""
+    fused = cut(ranking.implementation_intent(ranking.log_odds_fusion(_ranked(s, sf)), _prompts(s, sf)))
     return ranking.top_k(ranking.gate(fused), 8).select("request_id", "target", _r("score"), F.col("place").cast("bigint").alias("place"))
 
 
+def _prompts(s: SparkSession, sf: str) -> DataFrame:
+    """A prompt for each request: the items in turn."""
+    items = table(s, sf, "eval_prompts").select("item_id", "prompt").distinct()
+    return _ranked(s, sf).select("request_id").distinct().join(items, F.col("request_id") % 240 + 1 == F.col("item_id")).select("request_id", "prompt")
+
+
 def symbol_affinity(s: SparkSession, sf: str) -> DataFrame:
     fused = ranking.log_odds_fusion(_ranked(s, sf).where("target_type = 'symbol'"))
     return ranking.symbol_affinity(fused).select("request_id", "path", _r("boost"))
@@ -216,7 +222,7 @@ def _order_edges(s: SparkSession, sf: str) -> DataFrame:
 
 
 def import_coverage(s: SparkSession, sf: str) -> DataFrame:
-    return graph.coverage(table(s, sf, "ci_imports").distinct()).select("imports", "internal", "external", "unresolved", _r("internal_share"))
+    return graph.coverage(table(s, sf, "ci_imports").distinct())
 
 
 def import_degrees(s: SparkSession, sf: str) -> DataFrame:
@@ -230,7 +236,7 @@ def blast_radius(s: SparkSession, sf: str) -> DataFrame:
 
 
 def pagerank(s: SparkSession, sf: str) -> DataFrame:
-    return graph.pagerank(_edges(s, sf)).select("node", _r("rank", 9))
+    return graph.pagerank(_edges(s, sf)).select("node", _r("rank", 7))
 
 
 def personalised_walk(s: SparkSession, sf: str) -> DataFrame:
@@ -273,7 +279,7 @@ def project_overview(s: SparkSession, sf: str) -> DataFrame:
 
 def find_tests(s: SparkSession, sf: str) -> DataFrame:
     f = table(s, sf, "ci_files")
-    return navigation.find_tests(f, f, table(s, sf, "ci_imports"))
+    return navigation.find_tests(f, f, table(s, sf, "ci_imports").select("id", "from_file_id", "to_file_id"))
 
 
 def index_status(s: SparkSession, sf: str) -> DataFrame:

@@ -12,20 +12,21 @@ from lodespark.functions import text
 
 # Directories that are never indexed.
 ALWAYS_IGNORED = (".git", ".hg", ".svn", "node_modules", "__pycache__", ".venv", "venv", "dist", "build", "target", ".mypy_cache", ".pytest_cache", ".tox")
-# Extensions of each language.
-LANGUAGE_EXTENSIONS = {
-    "python": "py pyi", "javascript": "js jsx mjs cjs", "typescript": "ts tsx mts cts", "go": "go", "java": "java", "rust": "rs", "c": "c h",
-    "cpp": "cc cpp cxx hpp hh hxx", "csharp": "cs", "kotlin": "kt kts", "dart": "dart", "php": "php", "ruby": "rb", "powershell": "ps1 psm1 psd1",
-    "bash": "sh bash", "sql": "sql", "graphql": "graphql gql", "css": "css scss", "html": "html htm",
+# Extensions and their languages.
+LANGUAGE_BY_EXTENSION = {
+    "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "hh": "cpp", "hxx": "cpp", "ipp": "cpp", "cs": "csharp", "csx": "csharp",
+    "css": "css", "html": "html", "htm": "html", "vue": "html", "svelte": "html", "py": "python", "pyi": "python", "rs": "rust",
+    "rb": "ruby", "rake": "ruby", "gemspec": "ruby", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript",
+    "ts": "typescript", "tsx": "typescript", "go": "go", "java": "java", "kt": "kotlin", "kts": "kotlin", "dart": "dart", "php": "php", "phtml": "php",
+    "sql": "sql", "graphql": "graphql", "gql": "graphql", "sh": "bash", "bash": "bash", "ksh": "bash", "ps1": "powershell", "psm1": "powershell", "psd1": "powershell",
 }
-_BY_EXT = {e: lang for lang, exts in LANGUAGE_EXTENSIONS.items() for e in exts.split()}
 #: Files above this size are not read.
 LARGEST = 1 << 20
 
 
 def language_of(path: Column) -> Column:
     """The language of a path's extension in any letter case; null if unknown."""
-    table = F.create_map(*[F.lit(x) for kv in _BY_EXT.items() for x in kv])
+    table = F.create_map(*[F.lit(x) for kv in LANGUAGE_BY_EXTENSION.items() for x in kv])
     return F.try_element_at(table, F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1)))
 
 
