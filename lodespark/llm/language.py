@@ -407,15 +407,11 @@ def learnable(by_label: dict[str, list[str]], common: set[str]) -> list[str]:
     return sorted(out)
 
 
-#: Networks that this session has trained, by a digest of their sample.
-_trained: dict[bytes, dict] = {}
-
-
 def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, weights: str | None = None) -> tuple[list[str], dict] | None:
     """Languages and a trained network from a bounded sample: SAMPLE_DOCS documents a label, SAMPLE_CHARS characters of each.
 
-    What was trained on the same sample before is taken from this session, or from the folder ``weights`` (any
-    file system), where it is kept. None if nothing is labelled. See COMMON_SHARE for the labels that are learnt.
+    With a folder ``weights`` (any file system) networks are kept there under a digest of their sample, and one
+    that was trained on the same sample before is read instead of trained anew. None if nothing is labelled. See COMMON_SHARE for the labels that are learnt.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), language_code(F.col(lang_col)).alias("l")).where(F.col("l").isNotNull() & (F.length(F.trim("t")) > 0))
@@ -439,13 +435,13 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, weights: str
     docs_of = [number for _, number, parts in read for _ in parts]
     shares = [counts[k] for k in names]
     made_of = (names, shares, FIRST, SECOND, HIDDEN, WINDOW, BATCH, texts, labels, docs_of)
-    key = hashlib.sha256(pickle.dumps(made_of)).hexdigest()
-    if key not in _trained:
-        kept = _load(spark, f"{weights}/{key}") if weights else None
-        _trained[key] = kept or train(texts, labels, docs_of, shares).dump()
-        if weights and not kept:
-            _save(spark, f"{weights}/{key}", _trained[key])
-    return names, _trained[key]
+    path = f"{weights}/{hashlib.sha256(pickle.dumps(made_of)).hexdigest()}" if weights else None
+    net = _load(spark, path) if path else None
+    if net is None:
+        net = train(texts, labels, docs_of, shares).dump()
+        if path:
+            _save(spark, path, net)
+    return names, net
 
 
 def _save(spark, path: str, net: dict) -> None:

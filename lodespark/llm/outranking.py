@@ -10,11 +10,10 @@ a request with a third of all rows is sorted by many tasks.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodespark.operators.prefix import running
 from lodespark.operators.skew import heavy_keys, skew_join
 from lodespark.session import cut
 
@@ -22,25 +21,6 @@ from lodespark.session import cut
 SALTS = 32
 
 
-def prefix_sums(df: DataFrame, groups: Sequence[str], order: Sequence[str], sums: dict[str, str]) -> DataFrame:
-    """Running sums (up to and including each row) within ``groups`` by ``order``, with no task per group.
-
-    Range partitions are sorted and summed on their own; the totals of the partitions before, at most one
-    row per partition and group, are added afterwards. ``sums``: column to sum -> name of its running sum.
-    Rows that tie on ``order`` get sums in an undefined order. Rows with a null group are dropped.
-    """
-    keys = [F.col(c) for c in (*groups, *order)]
-    placed = cut(df.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()))
-    local = Window.partitionBy("_part", *groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = placed.groupBy(*groups, "_part").agg(*[F.sum(c).alias(f"_{n}") for c, n in sums.items()])
-    totals = totals.select(*groups, "_part", *[(F.sum(f"_{n}").over(before)).alias(f"_{n}") for n in sums.values()])
-    inner = placed.select("*", *[F.sum(c).over(local).alias(n) for c, n in sums.items()])
-    return inner.join(totals, [*groups, "_part"]).select(
-        *df.columns, *[(F.col(n) + F.coalesce(f"_{n}", F.lit(0))).alias(n) for n in sums.values()]
-    )
-
-
 def net_flow(
     scores: DataFrame,
     request: str = "request_id",
@@ -72,7 +52,7 @@ def net_flow(
     per = cut(known.join(sizes, "r"))
     # distinct score levels; the absent targets are one more level below all others
     levels = best.groupBy("r", "c", "s").agg(F.count(F.lit(1)).alias("k"))
-    ranked = skew_join(prefix_sums(levels, ["r", "c"], ["s"], {"k": "upto"}), per, "r", heavy=heavy).select(
+    ranked = skew_join(running(levels, ["r", "c"], ["s"], {"upto": ("sum", "k")}), per, "r", heavy=heavy).select(
         "r", "c", "s", "k", "n",
         (2 * (F.col("n") - F.col("m")[F.col("c")] + F.col("upto")) - F.col("k")).alias("x"),  # 2n times the mid-rank percentile
     )
@@ -93,7 +73,7 @@ def net_flow(
         F.when(F.col("e.what") == 0, F.col("k")).otherwise(0).alias("k"),
         F.when(F.col("e.what") == 0, F.col("kx")).otherwise(0).alias("kx"),
     )
-    summed = prefix_sums(events, ["r", "c"], ["at", "what"], {"k": "ck", "kx": "cx"})
+    summed = running(events, ["r", "c"], ["at", "what"], {"ck": ("sum", "k"), "cx": ("sum", "kx")})
     got = summed.groupBy("r", "c", "s", "x", "n").agg(
         *[F.max(F.when(F.col("what") == w, F.col(v))).alias(f"{v}{w}") for w in (0, 1, 2) for v in ("ck", "cx")]
     )

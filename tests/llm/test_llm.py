@@ -422,7 +422,6 @@ def test_a_rare_language_is_answered_and_weights_are_kept(spark, monkeypatch, tm
     got = {(r["doc_id"], r["language"]): r["confidence"] for r in language.document_languages(df, weights=kept).where("doc_id >= 2000").collect()}
     assert set(got) == {(i, "pl") for i in (*range(2000, 2005), 3000)} | {(3001, "en")} and min(got.values()) > 0.5
     names, net = language.fit(df, "doc_id", "text", "lang")
-    monkeypatch.setattr(language, "_trained", {})
     monkeypatch.setattr(language, "train", None)  # it must be read, not trained
     again = language.fit(df, "doc_id", "text", "lang", kept)
     assert again[0] == names and all(np.array_equal(again[1]["p"][k], v) for k, v in net["p"].items())
