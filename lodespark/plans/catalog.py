@@ -4,12 +4,20 @@ from __future__ import annotations
 
 from lodespark.plans import core_oracles as sql
 from lodespark.plans import core_queries as core
-from lodespark.plans import data_queries
+from lodespark.plans import data_queries, rank_queries
+
+MODULES = (data_queries, rank_queries)
 
 
 def core_queries() -> dict:
-    return {**core.QUERIES, **data_queries.QUERIES}
+    out = dict(core.QUERIES)
+    for m in MODULES:
+        out |= m.QUERIES
+    return out
 
 
 def core_oracles() -> dict:
-    return {**sql.ORACLES, **data_queries.ORACLES}
+    out = dict(sql.ORACLES)
+    for m in MODULES:
+        out |= m.ORACLES
+    return out
