@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodespark.session import cut
@@ -210,3 +210,57 @@ def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     x = e.join(labels.select(F.col("node").alias("src"), F.col("label").alias("a")), "src").join(labels.select(F.col("node").alias("dst"), F.col("label").alias("b")), "dst")
     per = x.groupBy("a").agg(F.count(F.lit(1)).alias("ends"), F.count_if(F.col("a") == F.col("b")).alias("inside"))
     return per.agg(F.coalesce(F.sum("inside") / F.sum("ends") - F.sum(F.col("ends").cast("double") * F.col("ends")) / (F.sum("ends").cast("double") * F.sum("ends")), F.lit(0.0)).alias("q"))
+
+
+def sinks(edges: DataFrame, **options) -> DataFrame:
+    """node, rank: PageRank of the reversed graph: what everything leads to."""
+    return pagerank(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), **options)
+
+
+def common_directory(paths: Column) -> Column:
+    """The longest directory that all paths of an array share; empty if there is none."""
+    folder = lambda p: F.slice(F.split(p, "/"), 1, F.greatest(F.lit(0), F.size(F.split(p, "/")) - 1))
+    shared = lambda a, b: F.slice(a, 1, F.size(F.filter(F.sequence(F.lit(0), F.least(F.size(a), F.size(b))), lambda i: F.slice(a, 1, i) == F.slice(b, 1, i))) - 1)
+    parts = F.transform(paths, folder)
+    return F.coalesce(F.when(F.size(paths) > 0, F.array_join(F.aggregate(F.slice(parts, 2, F.size(parts)), parts[0], shared), "/")), F.lit(""))
+
+
+def ripple(edges: DataFrame, starts: DataFrame, tests: DataFrame, partners: DataFrame, hops: int = 4) -> DataFrame:
+    """node, hop, evidence: what a change of the starts (node) may touch, with all reasons why.
+
+    ``imports`` for nodes that reach a start within ``hops`` imports (hop 1 and up), ``test`` for tests (target_id, test_id) of a start, ``cochange``
+    for what changed together with one (src, dst). Starts are left out; hop is null where no import leads there.
+    """
+    begin = cut(starts.select("node").distinct())
+    near = reach(edges, begin, hops, reverse=True).where("hop > 0").select("node", "hop", F.lit("imports").alias("e"))
+    none = F.lit(None).cast("int").alias("hop")
+    test = tests.join(begin.withColumnRenamed("node", "target_id"), "target_id", "left_semi").select(F.col("test_id").alias("node"), none, F.lit("test").alias("e"))
+    with_ = partners.join(begin.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node"), none, F.lit("cochange").alias("e"))
+    rows = near.unionByName(test).unionByName(with_).join(begin, "node", "left_anti")
+    return rows.groupBy("node").agg(F.min("hop").alias("hop"), F.array_sort(F.collect_set("e")).alias("evidence"))
+
+
+def architecture(edges: DataFrame, files: DataFrame, k: int = 10) -> DataFrame:
+    """section, place, name, value: cycles (largest first), hubs and sinks by rank, layers from the top, clusters (largest first, named by their common directory) and their modularity.
+
+    ``edges``: src, dst; ``files``: id, path. At most ``k`` rows a section; ``value`` is a size or a rank.
+    """
+    e = cut(simple_edges(edges))
+    paths = files.select(F.col("id").alias("node"), "path").distinct()
+    parts = cut(strong_components(e))
+
+    def top(df: DataFrame, section: str) -> DataFrame:
+        w = Window.partitionBy(F.lit(1)).orderBy(F.col("value").desc(), "name")
+        short = df.orderBy(F.col("value").desc(), "name").limit(k)  # k rows are all that the window sees
+        return short.withColumn("place", F.row_number().over(w)).select(F.lit(section).alias("section"), "place", "name", F.col("value").cast("double").alias("value"))
+
+    cycles = parts.groupBy("component").agg(F.count(F.lit(1)).alias("value")).where("value > 1").join(paths.withColumnRenamed("node", "component"), "component").select(F.col("path").alias("name"), "value")
+    ranked = lambda df: df.join(paths, "node").select(F.col("path").alias("name"), F.col("rank").alias("value"))
+    levels = layers(e, parts).groupBy("layer").agg(F.count(F.lit(1)).alias("value")).select(F.lpad(F.col("layer").cast("string"), 4, "0").alias("name"), "value")
+    labels = cut(label_propagation(e))
+    # a cluster's directory is that of its first and last path: what these share, all in between share
+    named = labels.join(paths, "node").groupBy("label").agg(F.count(F.lit(1)).alias("value"), F.min("path").alias("a"), F.max("path").alias("b"))
+    clusters = named.select(F.concat(common_directory(F.array("a", "b")), F.lit(" #"), F.col("label").cast("string")).alias("name"), "value")
+    out = top(cycles, "cycle").unionByName(top(ranked(pagerank(e)), "hub")).unionByName(top(ranked(sinks(e)), "sink")).unionByName(top(levels, "layer")).unionByName(top(clusters, "cluster"))
+    quality = modularity(e, labels).select(F.lit("quality").alias("section"), F.lit(1).alias("place"), F.lit("modularity").alias("name"), F.col("q").alias("value"))
+    return out.unionByName(quality)
