@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from lodespark.plans import core_oracles as sql
 from lodespark.plans import core_queries as core
-from lodespark.plans import data_queries, notes_queries, rank_queries, search_queries
+from lodespark.plans import data_queries, notes_queries, rank_queries, search_queries, source_queries
 
-MODULES = (data_queries, rank_queries, notes_queries, search_queries)
+MODULES = (data_queries, rank_queries, notes_queries, search_queries, source_queries)
 
 
 def core_queries() -> dict:

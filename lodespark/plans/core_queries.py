@@ -299,23 +299,6 @@ def file_languages(s: SparkSession, sf: str) -> DataFrame:
     return table(s, sf, "ci_files").select("id", "path").distinct().select("id", tree.language_of(F.col("path")).alias("language"))
 
 
-def extracted_symbols(s: SparkSession, sf: str) -> DataFrame:
-    f = table(s, sf, "fts_files").select("file_id", tree.language_of(F.col("path")).alias("language"), "body").distinct()
-    return tree.extract_symbols(f).select("file_id", F.col("line").cast("bigint").alias("line"), "name", "kind")
-
-
-def extracted_imports(s: SparkSession, sf: str) -> DataFrame:
-    f = table(s, sf, "fts_files").select("file_id", tree.language_of(F.col("path")).alias("language"), "body").distinct()
-    return tree.extract_imports(f).select("file_id", F.col("line").cast("bigint").alias("line"), "module")
-
-
-def resolved_imports(s: SparkSession, sf: str) -> DataFrame:
-    f = table(s, sf, "ci_files")
-    i = table(s, sf, "ci_imports").select(F.col("id").alias("import_id"), "from_file_id", F.col("to_module").alias("module")).distinct()
-    i = i.join(f.select(F.col("id").alias("from_file_id"), F.col("path").alias("from_path")).dropDuplicates(["from_file_id"]), "from_file_id")
-    return tree.resolve_imports(i, f)
-
-
 QUERIES = {
     f.__name__: f
     for f in (
@@ -324,6 +307,6 @@ QUERIES = {
         base_rate_discount, cooccurrence_boost, dismissal_penalty, last_writer_wins, retract_failed, session_windows, merge_synergy, best_channel_row,
         logodds_fusion, rank_pipeline, symbol_affinity, import_affinity, import_coverage, import_degrees, blast_radius, pagerank, personalised_walk,
         components, strong_components, condensation_layers, label_communities, modularity, enclosing_symbols, project_overview, find_tests, index_status,
-        file_outline, test_paths, file_languages, extracted_symbols, extracted_imports, resolved_imports,
+        file_outline, test_paths, file_languages,
     )
 }

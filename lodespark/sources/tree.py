@@ -1,4 +1,4 @@
-"""Source trees: files below a root, ignore rules, language labels, extraction, import targets."""
+"""Source trees: files below a root, ignore rules, language labels."""
 
 from __future__ import annotations
 
@@ -8,7 +8,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodespark.functions import text
 
 # Directories that are never indexed.
 ALWAYS_IGNORED = (".git", ".hg", ".svn", "node_modules", "__pycache__", ".venv", "venv", "dist", "build", "target", ".mypy_cache", ".pytest_cache", ".tox")
@@ -82,77 +81,3 @@ def read_tree(spark: SparkSession, root: str, rules: Sequence[str] = ()) -> Data
     rows = raw.select(path.alias("path"), F.col("modificationTime").alias("mtime"), "content")
     rows = rows.where(~is_ignored(F.col("path"), rules) & language_of(F.col("path")).isNotNull())
     return rows.select("path", language_of(F.col("path")).alias("language"), F.unhex(F.sha2("content", 256)).alias("content_hash"), "mtime", F.decode("content", "UTF-8").alias("body"))
-
-
-# What opens a symbol on a line, by language: (expression with the name as group 1, kind).
-SYMBOL_LINES = {
-    "python": ((r"^\s*(?:async\s+)?def\s+([A-Za-z_]\w*)", "function"), (r"^\s*class\s+([A-Za-z_]\w*)", "class")),
-    "javascript": ((r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*([A-Za-z_$][\w$]*)", "function"), (r"^\s*(?:export\s+)?(?:const|let)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?(?:\([^()]*\)|[\w$]+)\s*=>", "function"), (r"^\s*(?:export\s+)?(?:default\s+)?class\s+([A-Za-z_$][\w$]*)", "class")),
-    "go": ((r"^func\s+([A-Za-z_]\w*)\s*[(\[]", "function"), (r"^func\s+\([^()]*\)\s*([A-Za-z_]\w*)\s*\(", "method"), (r"^type\s+([A-Za-z_]\w*)\s+struct", "struct")),
-    "rust": ((r"^\s*(?:pub(?:\([^()]*\))?\s+)?(?:async\s+)?(?:unsafe\s+)?fn\s+([A-Za-z_]\w*)", "function"), (r"^\s*(?:pub\s+)?struct\s+([A-Za-z_]\w*)", "struct"), (r"^\s*(?:pub\s+)?enum\s+([A-Za-z_]\w*)", "enum"), (r"^\s*(?:pub\s+)?trait\s+([A-Za-z_]\w*)", "trait")),
-    "java": ((r"^\s*(?:(?:public|protected|private|static|final|abstract|synchronized)\s+)+[\w<>\[\], .]+\s+([A-Za-z_]\w*)\s*\(", "method"), (r"^\s*(?:(?:public|protected|private|static|final|abstract)\s+)*(?:class|record)\s+([A-Za-z_]\w*)", "class"), (r"^\s*(?:public\s+)?interface\s+([A-Za-z_]\w*)", "interface")),
-    "c": ((r"^(?:static\s+|inline\s+|extern\s+)*[A-Za-z_][\w ]*[ *]+([A-Za-z_]\w*)\s*\([^;]*$", "function"),),
-    "bash": ((r"^\s*(?:function\s+)?([A-Za-z_][\w-]*)\s*\(\)", "function"),),
-    "sql": ((r"(?i)^\s*create\s+(?:or\s+replace\s+)?(?:temp\w*\s+)?(?:table|view|function|procedure|trigger|index)\s+(?:if\s+not\s+exists\s+)?([\w.\"]+)", "object"),),
-    "html": ((r"(?i)<title>([^<]+)</title>", "title"), (r"(?i)\sid=[\"']([^\"']+)[\"']", "anchor")),
-    "css": ((r"^\s*([.#]?[A-Za-z][\w-]*)\s*\{", "rule"),),
-}
-SYMBOL_LINES["typescript"] = (*SYMBOL_LINES["javascript"], (r"^\s*(?:export\s+)?interface\s+([A-Za-z_$][\w$]*)", "interface"), (r"^\s*(?:export\s+)?type\s+([A-Za-z_$][\w$]*)\s*[=<]", "type"), (r"^\s*(?:export\s+)?(?:const\s+)?enum\s+([A-Za-z_$][\w$]*)", "enum"))
-# What names an imported module on a line.
-IMPORT_LINES = {
-    "python": (r"^\s*from\s+([\w.]+)\s+import\b", r"^\s*import\s+([\w.]+)"),
-    "javascript": (r"\bfrom\s+[\"']([^\"']+)[\"']", r"^\s*import\s+[\"']([^\"']+)[\"']"),
-    "typescript": (r"\bfrom\s+[\"']([^\"']+)[\"']", r"^\s*import\s+[\"']([^\"']+)[\"']"),
-    "go": (r"^\s*import\s+(?:[\w.]+\s+)?\"([^\"]+)\"",),
-    "rust": (r"^\s*(?:pub\s+)?use\s+([\w:]+)",),
-    "java": (r"^\s*import\s+(?:static\s+)?([\w.]+?)(?:\.\*)?\s*;",),
-    "c": (r"^\s*#\s*include\s*[<\"]([^>\"]+)[>\"]",),
-    "bash": (r"^\s*(?:source|\.)\s+(\S+)",),
-    "css": (r"@import\s+(?:url\()?[\"']([^\"']+)[\"']",),
-    "html": (r"(?i)<script[^>]*\ssrc=[\"']([^\"']+)[\"']", r"(?i)<link[^>]*\shref=[\"']([^\"']+)[\"']"),
-}
-
-
-def _lines(files: DataFrame) -> DataFrame:
-    return files.where(F.col("body").isNotNull()).select("file_id", "language", F.posexplode(F.split("body", r"\r?\n"))).select("file_id", "language", (F.col("pos") + 1).alias("line"), F.col("col").alias("t"))
-
-
-def extract_symbols(files: DataFrame) -> DataFrame:
-    """file_id, line, name, kind: what opens on each line, by the fixed expressions of the file's language. ``files``: file_id, language, body."""
-    found = F.lit(None).cast("struct<name:string,kind:string>")
-    for language, rules in SYMBOL_LINES.items():
-        for pattern, kind in reversed(rules):
-            name = F.regexp_extract("t", pattern, 1)
-            found = F.when((F.col("language") == language) & (name != ""), F.struct(name.alias("name"), F.lit(kind).alias("kind"))).otherwise(found)
-    rows = _lines(files).withColumn("s", found).where(F.col("s").isNotNull()).select("file_id", "line", "s.*")
-    return rows.where(~F.col("name").isin("if", "for", "while", "switch", "return", "else", "catch")).distinct()
-
-
-def extract_imports(files: DataFrame) -> DataFrame:
-    """file_id, line, module: the modules that each file imports. ``files``: file_id, language, body."""
-    found = F.lit(None).cast("string")
-    for language, rules in IMPORT_LINES.items():
-        for pattern in reversed(rules):
-            name = F.regexp_extract("t", pattern, 1)
-            found = F.when((F.col("language") == language) & (name != ""), name).otherwise(found)
-    return _lines(files).select("file_id", "line", found.alias("module")).where(F.col("module").isNotNull()).distinct()
-
-
-def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """import_id, target_id: imports whose module path ends exactly one file of the same repository.
-
-    ``imports``: import_id, from_path, module; ``files``: id, path. A module becomes a slash path without
-    leading dots; candidates are equi-joined with the suffixes of all paths, with and without extension.
-    Modules that fit several files stay unresolved.
-    """
-    path = text.plain_path(F.col("path"))
-    f = files.select(F.col("id").alias("target_id"), path.alias("path")).distinct()
-    repo = F.split("path", "/")[0]
-    rest = F.slice(F.split(F.regexp_replace("path", r"\.[A-Za-z0-9]+$", ""), "/"), 2, 1000)
-    every = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(rest))), lambda i: F.array_join(F.slice(rest, i, F.size(rest)), "/"))
-    ends = f.select("target_id", repo.alias("repo"), F.explode(every).alias("suffix")).where("suffix <> ''")
-    module = F.regexp_replace(F.regexp_replace(F.col("module"), r"^(?:crate|self|super)::|^[./]+", ""), r"::", "/")
-    module = F.when(module.contains("/"), F.regexp_replace(module, r"\.[A-Za-z0-9]{1,4}$", "")).otherwise(F.regexp_replace(F.regexp_replace(module, r"\.(?:h|sh|js|ts|css)$", ""), r"\.", "/"))
-    wanted = imports.select("import_id", F.split(text.plain_path(F.col("from_path")), "/")[0].alias("repo"), module.alias("suffix")).distinct()
-    hit = wanted.join(ends, ["repo", "suffix"]).groupBy("import_id").agg(F.count_distinct("target_id").alias("n"), F.min("target_id").alias("target_id"))
-    return hit.where("n = 1").select("import_id", "target_id")
