@@ -83,6 +83,9 @@ class Tokens:
                         self.close[stack.pop()] = i
         for i in stack:
             self.close[i] = len(self.v)
+        # rules look a little past the last token
+        self.close += [len(self.v)] * 16
+        self.line += [self.last] * 16
 
     def __len__(self) -> int:
         return len(self.v)

@@ -88,23 +88,6 @@ def test_enclosing_symbols_equal_brute_force(spark):
     assert got == want
 
 
-def test_ignore_rules_and_tree(spark, tmp_path):
-    for name, body in {"a/x.py": "import os\ndef f():\n    pass\n", "a/y.log": "x", "build/z.py": "1", "b/keep.py": "1", "b/gen/w.py": "2"}.items():
-        os.makedirs(tmp_path / os.path.dirname(name), exist_ok=True)
-        (tmp_path / name).write_text(body)
-    got = tree.read_tree(spark, str(tmp_path), ["b/*", "!b/keep.py", "# no rule", ""])
-    assert sorted(r["path"] for r in got.collect()) == ["a/x.py", "b/keep.py"]
-    f = got.select(F.xxhash64("path").alias("file_id"), "language", "body")
-    assert [(r["line"], r["name"], r["kind"]) for r in tree.extract_symbols(f).collect()] == [(2, "f", "function")]
-    assert [r["module"] for r in tree.extract_imports(f).collect()] == ["os"]
-
-
-def test_import_resolution(spark):
-    files = spark.createDataFrame([(1, "r/src/log.py"), (2, "./r/lib/util.ts"), (3, "r/a/same.py"), (4, "r/b/same.py"), (5, "q/src/log.py")], "id bigint, path string")
-    imports = spark.createDataFrame([(10, "r/x.py", "src.log"), (11, "r/x.ts", "./lib/util"), (12, "r/x.py", "same"), (13, "r/x.py", "os")], "import_id bigint, from_path string, module string")
-    assert sorted(map(tuple, tree.resolve_imports(imports, files).collect())) == [(10, 1), (11, 2)]
-
-
 def test_streamed_sessions_equal_batch(spark, tmp_path):
     rows = [{"session": i % 3, "at": f"2024-01-01 0{i % 9}:0{i % 6}:00"} for i in range(20)]
     (tmp_path / "in").mkdir()
