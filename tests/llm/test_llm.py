@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodespark.llm import docpairs, grammars, language, leakage, neighbours, outranking, syntax, tokenization
+from lodespark.operators.snippets import code_of
+from lodespark.sources import headers
 
 
 # -- ranking
@@ -251,9 +253,9 @@ HEADERS = {
 @pytest.mark.parametrize("path", sorted(HEADERS))
 def test_class_headers(path):
     text, want = HEADERS[path]
-    assert set(docpairs.Headers(path, text).edges()) == want
+    assert set(headers.Headers(path, text).edges()) == want
     for cut_at in range(0, len(text), 3):  # damaged texts end, too
-        list(docpairs.Headers(path, text[:cut_at]).edges())
+        list(headers.Headers(path, text[:cut_at]).edges())
 
 
 def test_inherited_documentation_is_left_out_of_own_and_found_in_pairs(spark):
@@ -281,7 +283,7 @@ def test_code_over_many_rows_of_lines(spark):
     files = spark.createDataFrame([(1, "\r\n".join(lines)), (2, ""), (3, "one")], "file_id bigint, body string")
     spans = [(i, 1, a, b) for i, (a, b) in enumerate([(1, 1), (250, 260), (1, 1000), (990, 5000), (256, 257), (-3, 2), (1001, 1002), (5, 4)])] + [(20, 2, 1, 9), (21, 3, 1, 2**31 - 1), (22, 9, 1, 1), (23, 1, None, 2)]
     df = spark.createDataFrame(spans, "id bigint, file_id bigint, line_start int, line_end int")
-    got = {r["id"]: r["code"] for r in docpairs.code_of(df, files).collect()}
+    got = {r["id"]: r["code"] for r in code_of(df, files).collect()}
     want = {i: "\n".join(lines[max(a, 1) - 1 : b]) for i, f, a, b in spans if f == 1 and a is not None and b >= max(a, 1) and a <= 1000} | {20: "", 21: "one"}
     assert got == want
 
