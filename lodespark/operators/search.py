@@ -97,7 +97,7 @@ def module_graph(edges: DataFrame, root: int, depth: int = 1, most: int = 100) -
     near = graph.reach(graph.undirected(e.select("src", "dst")), start, depth)
     total = near.count()
     nodes = cut(near.orderBy("hop", "node").limit(max(1, most)))
-    inner = e.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi")
+    inner = e.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst")
     if depth < 1:
         inner = inner.limit(0)
     return nodes, inner, total > max(1, most)
