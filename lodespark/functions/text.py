@@ -8,13 +8,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that name postings leave out.
-NAME_STOPWORDS = (
-    "the and for with from into this that what where when why how fix bug error "
-    "traceback file line test tests code src function class method module "
-    "este esta esto ese esa eso con para que por los las una uno momento ahora "
-    "sigue seguir continua continuar continuemos seguimos path foco extra cual "
-    "quien donde cuando como clase codigo código fichero archivo funcion función"
-).split()
+NAME_STOPWORDS = [
+    "the", "and", "for", "with", "from", "into", "this", "that", "what", "where", "when", "why", "how", "fix", "bug", "error", "traceback",
+    "file", "line", "test", "tests", "code", "src", "function", "class", "method", "module", "este", "esta", "esto", "ese", "esa", "eso",
+    "con", "para", "que", "por", "los", "las", "una", "uno", "momento", "ahora", "sigue", "seguir", "continua", "continuar", "continuemos",
+    "seguimos", "path", "foco", "extra", "cual", "quien", "donde", "cuando", "como", "clase", "codigo", "código", "fichero", "archivo",
+    "funcion", "función",
+]
 # Tokens that stand for others as well.
 NAME_ALIASES = {
     "class": ["class"], "code": ["code"], "file": ["file"], "scheduler": ["sched"], "scheduling": ["sched"],
@@ -24,12 +24,15 @@ NAME_ALIASES = {
     "archivo": ["file", "source"], "fichero": ["file", "source"], "codigo": ["code", "source"], "clase": ["class"],
 }
 # Words that term profiles leave out.
-PROFILE_STOPWORDS = "the and for with from this that self return none true false init str int list dict test get set py ts js".split()
+PROFILE_STOPWORDS = [
+    "the", "and", "for", "with", "from", "this", "that", "self", "return", "none", "true", "false", "init", "str", "int", "list", "dict",
+    "test", "get", "set", "py", "ts", "js",
+]
 # Endings of test files.
-TEST_ENDINGS = (
-    "_test.py _test.go _test.rs _test.ts _test.js _test.dart _spec.rb _spec.js _spec.ts "
-    ".test.ts .test.tsx .test.js .test.jsx .test.mjs .spec.ts .spec.tsx .spec.js .spec.jsx .spec.mjs"
-).split()
+TEST_ENDINGS = [
+    "_test.py", "_test.go", "_test.rs", "_test.ts", "_test.js", "_test.dart", "_spec.rb", "_spec.js", "_spec.ts", ".test.ts", ".test.tsx",
+    ".test.js", ".test.jsx", ".test.mjs", ".spec.ts", ".spec.tsx", ".spec.js", ".spec.jsx", ".spec.mjs",
+]
 
 
 def camel_parts(text: Column) -> Column:

@@ -187,6 +187,6 @@ def note_scores(sims: DataFrame, notes: DataFrame, threshold: float = 0.48, scal
     return _rows(x, F.col("topic"), "finding", (F.col("sim") - threshold) * scale / (1 - threshold), F.concat(F.lit("finding:"), F.format_number("sim", 2)))
 
 
-def prompt_similarities(prompts: DataFrame, rows: DataFrame) -> DataFrame:
-    """query, id, sim of every row (id, vec) with every prompt (request_id, vec): a stated query set against all rows."""
-    return similarity.similarities(rows, "id", "vec", prompts.select(F.col("request_id").alias("id"), "vec"))
+def prompt_similarities(prompts: DataFrame, rows: DataFrame, least: float = -2.0) -> DataFrame:
+    """query, id, sim of every row (id, vec) with every prompt (request_id, vec), from ``least`` on: a stated query set against all rows."""
+    return similarity.similarities(rows, "id", "vec", prompts.select(F.col("request_id").alias("id"), "vec"), least)

@@ -67,7 +67,7 @@ def grep(files: DataFrame, needle: str, id_col: str = "file_id", body: str = "bo
 def bm25(files: DataFrame, query: Sequence[str], id_col: str = "file_id", body: str = "body", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """BM25 scores of the files that hold a term of the query: id, score. Term counts are made map-side; only query terms are shuffled."""
     wanted = sorted({q.lower() for q in query})
-    docs = files.where(F.col(id_col).isNotNull() & F.col(body).isNotNull()).select(F.col(id_col).alias("id"), F.col(body).alias("body")).distinct()
+    docs = once(files.where(F.col(id_col).isNotNull() & F.col(body).isNotNull()).select(F.col(id_col).alias("id"), F.col(body).alias("body")), "id", "body")
     terms = text.index_terms(F.col("body"))
     counted = docs.select("id", F.size(terms).alias("len"), *[(F.size(terms) - F.size(F.array_remove(terms, w))).alias(f"tf{i}") for i, w in enumerate(wanted)])
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))])

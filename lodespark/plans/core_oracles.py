@@ -259,7 +259,7 @@ SELECT count(*) AS imports, count(to_file_id) AS internal, count(*) FILTER (reso
   round(100.0::DOUBLE * count(to_file_id) / nullif(count(to_file_id) + count(*) FILTER (resolution = 'unresolved'), 0), 1) AS internal_pct FROM (SELECT DISTINCT * FROM ci_imports)
 """,
     "import_degrees": f"WITH {NODES} SELECT node, count(*) AS degree FROM (SELECT src AS node FROM ed UNION ALL SELECT dst FROM ed) GROUP BY 1",
-    "blast_radius": f"""WITH RECURSIVE {EDGES}, r AS (SELECT DISTINCT dst AS node, 0 AS hop FROM ed WHERE dst % 20 = 0 UNION SELECT ed.src, hop + 1 FROM r JOIN ed ON ed.dst = r.node WHERE hop < 3)
+    "blast_radius": f"""WITH RECURSIVE {EDGES}, r AS (SELECT DISTINCT dst AS node, 0 AS hop FROM ed WHERE dst % 20 = 0 UNION SELECT ed.src, hop + 1 FROM r JOIN ed ON ed.dst = r.node WHERE hop < 4)
 SELECT node, CAST(min(hop) AS BIGINT) AS hop FROM r GROUP BY node""",
     "pagerank": f"WITH {NODES}, od AS (SELECT src, count(*) AS o FROM ed GROUP BY 1), pr0 AS (SELECT node, 1.0::DOUBLE / (SELECT count(*) FROM nd) AS rank FROM nd){PR} SELECT node, {_r('rank', 'rank', 7)} FROM pr40",
     "personalised_walk": f"""WITH {EDGES}, sy AS (SELECT src, dst, count(*)::DOUBLE AS w FROM (SELECT src, dst FROM ed UNION ALL SELECT dst, src FROM ed) GROUP BY 1, 2),

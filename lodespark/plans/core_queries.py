@@ -232,7 +232,7 @@ def import_degrees(s: SparkSession, sf: str) -> DataFrame:
 def blast_radius(s: SparkSession, sf: str) -> DataFrame:
     e = _edges(s, sf)
     starts = e.select(F.col("dst").alias("node")).where("node % 20 = 0")
-    return graph.reach(e, starts, 3, reverse=True).select("node", F.col("hop").cast("bigint").alias("hop"))
+    return graph.reach(e, starts, 4, reverse=True).select("node", F.col("hop").cast("bigint").alias("hop"))
 
 
 def pagerank(s: SparkSession, sf: str) -> DataFrame:

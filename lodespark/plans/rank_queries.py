@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodespark.functions import text
-from lodespark.operators import behaviour, boosts, channels, evaluation, graph, lexical, ranking
+from lodespark.operators import behaviour, boosts, channels, evaluation, graph, lexical, ranking, walks
 from lodespark.plans.core_oracles import REACTIVE, _camel_tokens, _r
 from lodespark.plans.core_queries import _events, _turned
 from lodespark.session import cut, table
@@ -101,12 +101,12 @@ def predictive_scores(s: SparkSession, sf: str) -> DataFrame:
 
 def doc_intent_best(s: SparkSession, sf: str) -> DataFrame:
     i = _intents(s, sf)
-    return _rounded(channels.doc_intent(channels.prompt_similarities(_prompts(s, sf), i.select("id", "vec")), i, threshold=NEAR))
+    return _rounded(channels.doc_intent(channels.prompt_similarities(_prompts(s, sf), i.select("id", "vec"), NEAR), i, threshold=NEAR))
 
 
 def note_scores(s: SparkSession, sf: str) -> DataFrame:
     n = _notes(s, sf)
-    return _rounded(channels.note_scores(channels.prompt_similarities(_prompts(s, sf), n.select("id", "vec")), n, threshold=NEAR))
+    return _rounded(channels.note_scores(channels.prompt_similarities(_prompts(s, sf), n.select("id", "vec"), NEAR), n, threshold=NEAR))
 
 
 def context_tokens(s: SparkSession, sf: str) -> DataFrame:
@@ -163,6 +163,15 @@ def explain_stages(s: SparkSession, sf: str) -> DataFrame:
     return boosts.explain(_prompts(s, sf), _index(s, sf), _now()).select("request_id", "target", "stage", *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("before", "after")])
 
 
+def walk_boost(s: SparkSession, sf: str) -> DataFrame:
+    """Imports, and the imports of each file as its commits."""
+    f = _files(s, sf).select("path")
+    e = _imports(s, sf)
+    edges = walks.affinity_edges(e, commits=e.select(F.col("src").alias("basket"), F.col("dst").alias("item")))
+    top = boosts.anchors(_base(s, sf), 1.0)
+    return walks.walk_boost(top, edges, f).select("request_id", "target", F.round(F.col("boost") + 1e-9, 6).alias("boost"))
+
+
 def recall_metrics(s: SparkSession, sf: str) -> DataFrame:
     """How well the files that share name tokens with the prompts meet what they expect."""
     want = table(s, sf, "eval_prompts").select(F.col("item_id").alias("request_id"), "expected_files").distinct()
@@ -174,7 +183,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         explicit_mentions, similar_prompts, predictive_scores, doc_intent_best, note_scores, context_tokens, lexical_files, literal_prompt_files, test_affinity,
-        import_neighbours, cooccurrence_by_request, language_intent, rank_prompts, explain_stages, recall_metrics,
+        import_neighbours, cooccurrence_by_request, language_intent, rank_prompts, explain_stages, walk_boost, recall_metrics,
     )
 }
 
@@ -201,6 +210,11 @@ lx AS (SELECT request_id, path AS target, round(least(1.4, 0.6 + 0.4 * count(DIS
 _ANCHORS = "an AS (SELECT * FROM lx WHERE score >= 1.0 QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY score DESC, target) <= 5)"
 _RANKER_TEST = "(regexp_matches(lower({0}), '(^|/)tests?/') OR starts_with(lower(regexp_extract({0}, '([^/]*)$', 1)), 'test_') OR ends_with(lower({0}), '_test.py') OR contains(lower(regexp_extract({0}, '([^/]*)$', 1)), '.test.') OR contains(lower(regexp_extract({0}, '([^/]*)$', 1)), '.spec.'))"
 
+_WALK = " ".join(
+    f""", w{i} AS MATERIALIZED (SELECT request_id, node, sum(p0) AS p0 FROM (SELECT request_id, st.dst AS node, st.p * p0 * 0.2 AS p0 FROM w{i - 1} JOIN st ON st.src = node UNION ALL SELECT request_id, node, s * 0.8 FROM sd) GROUP BY 1, 2)"""
+    for i in range(1, 4)
+)
+
 ORACLES = {
     "explicit_mentions": f"""
 WITH {_P}, {_F}, {_S}, m0 AS (SELECT request_id, unnest(regexp_extract_all(prompt, '\\b[\\w./\\-]+\\.[a-zA-Z]{{1,5}}\\b(?::\\d+(?:-\\d+)?)?')) AS m FROM p),
@@ -256,6 +270,15 @@ k AS (SELECT request_id, list_filter(['c', 'go', 'java', 'javascript', 'python',
 b AS (SELECT request_id, CASE WHEN regexp_matches(target, '\\.go$') THEN 'parsers/go.x' WHEN regexp_matches(target, '\\.rs$') THEN 'parsers/rust.x' WHEN regexp_matches(target, '\\.py$') THEN 'parsers/python.x' ELSE target END AS target, max(score) AS score FROM lx GROUP BY 1, 2),
 l AS (SELECT b.*, k, regexp_extract(target, '^(?:.*/)?parsers/(?:test_)?([a-z]+)', 1) AS lang FROM b JOIN k USING (request_id))
 SELECT request_id, target, {_r("CASE WHEN len(k) = 0 OR lang NOT IN ('c', 'go', 'java', 'javascript', 'python', 'rust', 'typescript') THEN score WHEN list_contains(k, lang) THEN score + 0.4 ELSE score * 0.55 END", "score")} FROM l
+""",
+    "walk_boost": f"""
+WITH {_LEX}, {_ANCHORS}, e AS (SELECT a.path AS src, b.path AS dst FROM (SELECT DISTINCT * FROM ci_imports WHERE resolution = 'internal') i JOIN f a ON a.id = i.from_file_id JOIN f b ON b.id = i.to_file_id),
+bk AS (SELECT DISTINCT src AS basket, dst AS item FROM e), bs AS (SELECT basket, count(*) AS n FROM bk GROUP BY 1 HAVING count(*) BETWEEN 2 AND 25),
+ae AS (SELECT src, dst, sum(w) AS w FROM (SELECT src, dst, 1.0::DOUBLE AS w FROM e UNION ALL SELECT x.item, y.item, 1.2::DOUBLE / (n - 1) FROM bk x JOIN bk y ON x.basket = y.basket AND x.item < y.item JOIN bs ON bs.basket = x.basket) WHERE src <> dst GROUP BY 1, 2),
+sy AS (SELECT src, dst, sum(w) AS w FROM (SELECT src, dst, w FROM ae UNION ALL SELECT dst, src, w FROM ae) GROUP BY 1, 2), st AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM sy),
+sd AS (SELECT request_id, target AS node, score / sum(score) OVER (PARTITION BY request_id) AS s FROM an), w0 AS (SELECT request_id, node, s AS p0 FROM sd){_WALK},
+nw AS (SELECT * FROM w3 WHERE p0 > 0 AND (request_id, node) NOT IN (SELECT request_id, node FROM sd) QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY p0 DESC, node) <= 3)
+SELECT request_id, node AS target, round(0.6 * p0 / best + 1e-9, 6) AS boost FROM (SELECT *, max(p0) OVER (PARTITION BY request_id) AS best FROM nw) WHERE p0 >= 0.4 * best
 """,
     "recall_metrics": f"""
 WITH {_LEX}, t AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, target) AS place FROM lx QUALIFY place <= 8),
