@@ -12,6 +12,7 @@ import hashlib
 import pickle
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -458,6 +459,18 @@ def _load(spark, path: str) -> dict | None:
     return {"h": p["u"].shape[1], "p": p}
 
 
+#: What a Python worker has read in the present run: sentences that come up again are not read again.
+_memo: dict = {}
+
+
+def _read_before(run_id: str) -> dict[str, np.ndarray]:
+    """The sentences of this run that this worker knows; a worker serves many tasks, but one run at a time."""
+    if _memo.get("run") != run_id:
+        _memo.clear()
+        _memo.update(run=run_id, known={})
+    return _memo["known"]
+
+
 def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", weights: str | None = None) -> DataFrame:
     """One row per document and stretch of sentences in one language: id, label (code or null), segment, language, sentences, confidence, pooled.
 
@@ -473,9 +486,11 @@ def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     names, net = fitted
     sent = docs.sparkSession.sparkContext.broadcast(net)
 
+    run_id = uuid.uuid4().hex
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = ByteGru.load(sent.value)
-        known: dict[str, np.ndarray] = {}
+        known = _read_before(run_id)
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
