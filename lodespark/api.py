@@ -16,7 +16,7 @@ class Workspace:
     """An index and what is known about its use.
 
     ``files``: id, path, language, vec, days; ``symbols``: id, file_id, kind, name, qualname, line_start, line_end, docstring, vec; ``imports``: id, from_file_id,
-    to_file_id, resolution; ``bodies``: file_id, body; ``encode`` turns (DataFrame, id column, text column) into (id, vec). All
+    to_file_id, resolution; ``bodies``: file_id, body; ``repositories``: whether the first segment of every path is a repository; ``encode`` turns (DataFrame, id column, text column) into (id, vec). All
     other roles are those of :class:`lodespark.operators.boosts.Index`.
     """
 
@@ -28,6 +28,7 @@ class Workspace:
     history: dict[str, DataFrame] = field(default_factory=dict)
     memory: notes.Memory | None = None
     encode: object = embedding.embed
+    repositories: bool = False
 
     # -- find
     def find(self, queries: DataFrame, kind: str = "symbols", k: int = 10) -> DataFrame:
@@ -64,7 +65,7 @@ class Workspace:
             return clones.clones_of(pairs, members, asked)
         if how == "classes":
             return codeflow.hierarchy(options["bases"], asked, options.get("down", True))
-        tests = navigation.find_tests(self.files, asked if how == "tests" else self.files, self.imports.select("id", "from_file_id", "to_file_id"))
+        tests = navigation.find_tests(self.files, asked if how == "tests" else self.files, self.imports.select("id", "from_file_id", "to_file_id"), self.repositories)
         if how == "tests":
             return tests
         if how == "ripple":

@@ -78,15 +78,15 @@ def tested_names(base: Column) -> Column:
     return F.array_distinct(F.filter(F.array(*cut_off), lambda x: x.isNotNull()))
 
 
-def find_tests(files: DataFrame, targets: DataFrame, imports: DataFrame) -> DataFrame:
-    """target_id, test_id, score: tests of a file, found within its repository (the first path segment).
+def find_tests(files: DataFrame, targets: DataFrame, imports: DataFrame, repositories: bool = True) -> DataFrame:
+    """target_id, test_id, score: tests of a file, found within its repository (the first path segment; all files are of one if ``repositories`` is false).
 
     Named for it by convention 3.0, else all words of its name in the test's name 2.0, and 1.0 more for
     each row of ``imports`` (from_file_id, to_file_id; repeated rows count once) from the test to the file. ``files``: id, path; ``targets``: id. The words of a file
     meet only the tests that hold its rarest word.
     """
     f = files.where(F.col("id").isNotNull() & F.col("path").isNotNull()).groupBy("id").agg(F.max(text.plain_path(F.col("path"))).alias("path"))
-    f = f.withColumn("repo", F.split("path", "/")[0]).withColumn("stem", file_stem(F.col("path")))
+    f = f.withColumn("repo", F.split("path", "/")[0] if repositories else F.lit("")).withColumn("stem", file_stem(F.col("path")))
     words = F.array_except(text.search_tokens(F.col("stem")), F.array(*map(F.lit, TEST_WORDS)))
     tests = f.where(text.looks_like_test(F.col("path"))).select(F.col("id").alias("test_id"), "repo", tested_names(F.col("stem")).alias("names"), words.alias("test_words"))
     wanted = f.join(targets.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("target_id"), "repo", F.lower("stem").alias("stem"), words.alias("words"))
