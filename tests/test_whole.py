@@ -216,3 +216,20 @@ def test_seeds_grow_with_the_data(spark, sf):
     near = {b for a, b in edges if a in seeds} | {a for a, b in edges if b in seeds}
     assert {r["node"] for r in q["import_affinity"](spark, sf).collect()} == near
     assert seeds <= {r["node"] for r in q["personalised_walk"](spark, sf).collect()}
+
+
+def test_related_notes_are_those_of_every_note(spark, sf):
+    """Notes of all numbers are asked for, and vectors of all numbers link them."""
+    got = catalog.core_queries()["related_notes"](spark, sf).collect()
+    docs = {r[0] for r in rows_of(sf, "documents", "doc_id")}
+    asked = {r["note"] for r in got}
+    assert asked <= docs and any(n % 20 for n in asked)
+    pairs = {(r["note"], r["other"]) for r in got}
+    vec = dict(rows_of(sf, "embeddings", "vec_id, embedding"))
+    x = {i: np.array(v) / np.linalg.norm(v) for i, v in vec.items()}
+    weight = lambda a, b: round(min(1.0, max(0.0, (float(x[a] @ x[b]) - 0.3) / 0.7)), 4)
+    exact = {(r["note"], r["other"]): r["exact"] for r in got}
+    alone = [n for n in docs & set(x) if not any(e for (a, _), e in exact.items() if a == n)]
+    for n in alone:  # nothing but vectors links these
+        best = sorted((-weight(n, o), o) for o in x if o != n and weight(n, o) >= 0.3)[:8]
+        assert {o for _, o in best} == {b for a, b in pairs if a == n}
