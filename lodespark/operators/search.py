@@ -56,10 +56,12 @@ def symbol_detail(asked: DataFrame, symbols: DataFrame) -> DataFrame:
 
     ``asked``: ask, file_id, name; ``symbols``: id, file_id, name, qualname, line_start. Unknown ones have no row.
     """
-    s = symbols.select(F.col("id").alias("symbol_id"), "file_id", F.col("name").alias("own"), "qualname", "line_start").distinct()
-    x = asked.join(s, "file_id").where((F.col("name") == F.col("own")) | (F.col("name") == F.col("qualname")))
-    order = Window.partitionBy("ask").orderBy(F.coalesce(F.col("qualname") == F.col("name"), F.lit(False)).desc(), "line_start", "symbol_id")
-    return x.withColumn("_k", F.row_number().over(order)).where("_k = 1").select("ask", "symbol_id")
+    s = symbols.select(F.col("id").alias("symbol_id"), "file_id", "name", "qualname", "line_start")
+    place = lambda kind: F.struct(F.lit(kind).alias("kind"), F.col("line_start").isNull().alias("lost"), "line_start", F.col("symbol_id").isNull().alias("none"), "symbol_id").alias("p")
+    by = s.select("file_id", F.col("qualname").alias("name"), place(0)).unionByName(s.select("file_id", "name", place(1)))
+    # the first of each name before anything is joined: names that come up often in a file make no pairs
+    first = by.where(F.col("name").isNotNull()).groupBy("file_id", "name").agg(F.min("p").alias("p"))
+    return asked.join(first, ["file_id", "name"]).groupBy("ask").agg(F.min("p").alias("p")).select("ask", "p.symbol_id")
 
 
 def snippet(files: DataFrame, start: int | None = None, end: int | None = None, most: int | None = None) -> DataFrame:

@@ -200,3 +200,11 @@ def test_related_without_pairs_of_notes(spark, monkeypatch):
     monkeypatch.undo()
     monkeypatch.setattr(notes.mining, "shared_key_edges", None)  # pairs of notes are not made
     assert tell(notes.related_by_tags_and_vectors(n, sem)) == want
+
+
+def test_symbol_detail_makes_no_pairs_within_a_file(spark):
+    n = 30_000
+    sy = spark.range(n).select("id", F.lit(1).alias("file_id"), F.lit("run").alias("name"), F.when(F.col("id") == 9, "run").otherwise("A.run").alias("qualname"), F.when(F.col("id") > 4, F.col("id").cast("int")).alias("line_start"))
+    ask = sy.select(F.col("id").alias("ask"), "file_id", F.when(F.col("id") % 2 == 0, "run").otherwise("A.run").alias("name"))
+    got = search.symbol_detail(ask, sy)
+    assert {(r["even"], r["symbol_id"], r["n"]) for r in got.groupBy((F.col("ask") % 2 == 0).alias("even"), "symbol_id").agg(F.count("*").alias("n")).collect()} == {(True, 9, n // 2), (False, 5, n // 2)}
