@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodespark.functions import text
-from lodespark.operators import graph, mining, navigation, search, similarity
+from lodespark.operators import graph, mining, navigation, search, wholesearch
 from lodespark.plans.core_oracles import BM25, NODES, PR, _r
 from lodespark.plans.core_queries import _edges
 from lodespark.plans.rank_queries import _FINE, _cos, _files, _symbols
@@ -15,10 +15,8 @@ from lodespark.session import cut, scratch_path, table
 
 def _found(s: SparkSession, df: DataFrame, names, k: int) -> DataFrame:
     """Every row whose id is divisible by 20 is searched by its first name and vector."""
-    asked = df.where("id % 20 = 0")
-    q = asked.select(F.col("id").alias("query"), names[0].alias("text")).distinct()
-    sims = similarity.similarities(df.select("id", "vec").where(F.size("vec") == 64), "id", "vec", asked.select("id", "vec").where(F.size("vec") == 64))
-    got = search.search(q, sims, df.select("id", F.array(*names).alias("names")).distinct(), k)
+    rows = df.where(F.size("vec") == 64).select("id", "vec", F.array(*names).alias("names"), names[0].alias("text"))
+    got = wholesearch.search(rows.where("id % 20 = 0").select(F.col("id").alias("query"), "text", "vec"), rows, k)
     return got.select("query", "id", F.round(F.col("sim") + 1e-9, 6).alias("sim"), F.col("tier").cast("bigint").alias("tier"), F.col("place").cast("bigint").alias("place"))
 
 

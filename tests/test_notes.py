@@ -208,3 +208,31 @@ def test_symbol_detail_makes_no_pairs_within_a_file(spark):
     ask = sy.select(F.col("id").alias("ask"), "file_id", F.when(F.col("id") % 2 == 0, "run").otherwise("A.run").alias("name"))
     got = search.symbol_detail(ask, sy)
     assert {(r["even"], r["symbol_id"], r["n"]) for r in got.groupBy((F.col("ask") % 2 == 0).alias("even"), "symbol_id").agg(F.count("*").alias("n")).collect()} == {(True, 9, n // 2), (False, 5, n // 2)}
+
+
+def test_whole_search_equals_the_search_of_all_pairs(spark):
+    from lodespark.operators import similarity, wholesearch
+
+    rng = random.Random(3)
+    words = ["alpha", "beta", "gamma", "delta"]
+    vec = lambda: [rng.choice([-1.0, -0.5, 0.5, 1.0, rng.random()]) for _ in range(3)]
+    many = [vec() for _ in range(60)]
+    name = lambda: rng.choice(["_", "."]).join(rng.sample(words, rng.choice([1, 1, 2, 3])))
+    data = [(i, [name(), rng.choice([None, "", "m." + name(), "x." + name()])], rng.choice(many)) for i in range(400)] + [(500, ["alpha"], None), (501, ["beta"], [0.0, 0.0, 0.0]), (502, None, [1.0, 2.0])]
+    rows = spark.createDataFrame(data, "id bigint, names array<string>, vec array<float>")
+    asked = spark.createDataFrame([(n, text, vec()) for n, text in enumerate(["alpha", "beta_alpha", "BETA", "gamma.delta", "some words", "zeta", "alpha_zeta", None, "_", "delta_gamma_beta", "a.", "gamma_delta_alpha"])], "query bigint, text string, vec array<float>")
+    sims = similarity.similarities(rows, "id", "vec", asked.select(F.col("query").alias("id"), "vec"))
+    tell = lambda df: {(r["query"], r["place"]): (r["id"], r["tier"], round(r["sim"], 9)) for r in df.collect()}
+    for k in (3, 10):
+        want = tell(search.search(asked.select("query", "text"), sims, rows, k))
+        got = tell(wholesearch.search(asked, rows, k))
+        assert {q for q, p in got} == {q for q, p in want} and len(got) == len(want)
+        assert {a: v[1:] for a, v in got.items()} == {a: v[1:] for a, v in want.items()}
+
+
+def test_search_queries_make_no_pairs(spark, sf, monkeypatch):
+    from lodespark.operators import similarity
+    from lodespark.plans import catalog
+
+    monkeypatch.setattr(similarity, "similarities", None)
+    assert catalog.core_queries()["search_symbols"](spark, sf).count() > 0 and catalog.core_queries()["search_files"](spark, sf).count() > 0
