@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -153,3 +154,21 @@ def test_tools(spark):
     assert [tuple(r) for r in df.select(mentions.tool_event(F.col("tool"), target), target).collect()] == [
         ("read", "a.py"), ("edit", "src/x.py"), ("neutral", None), ("read", "b.go"), ("neutral", None), ("edit", "c.rs"), ("read", "d"), ("neutral", "d"),
     ]
+
+
+def test_lexical_moves_no_pairs_of_prompts_and_targets(spark):
+    rng = random.Random(2)
+    words = ["alpha", "beta", "gamma", "delta", "eps"]
+    own = {i: rng.sample(words, rng.randint(1, 4)) for i in range(60)}
+    asked = {r: rng.sample([*words, "none"], rng.randint(0, 5)) for r in range(12)}
+    tokens = spark.createDataFrame([(r, t, r % 3 == 0) for r, t in asked.items()], "request_id bigint, tokens array<string>, expanded boolean")
+    index = spark.createDataFrame([(t, i) for i, ts in own.items() for t in ts + ts[:1]], "token string, id bigint")
+    got = channels.lexical(tokens, index, spark.createDataFrame([(i, f"f{i}") for i in own], "id bigint, target string"), "file")
+    assert "hashpartitioning(request_id" not in got._jdf.queryExecution().toString()
+    want = {}
+    for r, ts in asked.items():
+        for i, mine in own.items():
+            if both := sorted(set(ts) & set(mine)):
+                more = 0.6 if r % 3 == 0 else 0.0
+                want[r, f"f{i}"] = (round(min(1.4 + more, 0.6 + 0.4 * len(both) + more), 9), ("lexical-context:" if more else "lexical:") + ",".join(both[:3]))
+    assert {(x["request_id"], x["target"]): (round(x["score"], 9), x["reason"]) for x in got.collect()} == want
