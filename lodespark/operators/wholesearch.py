@@ -96,7 +96,7 @@ def _first(q: np.ndarray, sim: np.ndarray, id_: np.ndarray, k: int) -> tuple[np.
 
 
 def _kept(sent, k: int):
-    """query, part, tier, id, sim of the first ``k`` rows of these batches for each search, of all tiers (part 0) and of each tier from 1 on (part 1 to 3). Part -1 counts the rows of tier 2 (sim)."""
+    """query, tier, id, sim of the first ``k`` rows of these batches for each search, of all tiers and of each tier from 1 on. Tier -1 counts the rows of tier 2 (sim)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, best, floor, twos = sent.value, {}, {}, {}
@@ -140,18 +140,19 @@ def _kept(sent, k: int):
                         last = place == k - 1
                         limits[n, now[0][last]] = now[1][last]
         for (size, _, n), (q, sim, id_, tier) in best.items():
-            use = np.ones(len(q), bool) if n == 3 else np.isinf(floor[size][3, q])  # with ``k`` exact names nothing else counts
-            yield _rows(known[size].ids[q[use]], n, tier[use], id_[use], sim[use])
+            use = tier == n  # what is first of all tiers is among the first of its own
+            if n != 3:
+                use &= np.isinf(floor[size][3, q])  # with ``k`` exact names nothing else counts
+            yield _rows(known[size].ids[q[use]], tier[use], id_[use], sim[use])
         for size, n in twos.items():
             some = np.flatnonzero(n)
-            yield _rows(known[size].ids[some], -1, np.zeros(len(some)), np.zeros(len(some)), n[some])
+            yield _rows(known[size].ids[some], np.full(len(some), -1), np.zeros(len(some)), n[some])
 
     return run
 
 
-def _rows(query, part: int, tier, id_, sim) -> pa.RecordBatch:
-    n = len(query)
-    return pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(np.full(n, part, np.int32)), pa.array(tier.astype(np.int32)), pa.array(id_.astype(np.int64)), pa.array(sim.astype(np.float64))], names=["query", "part", "tier", "id", "sim"])
+def _rows(query, tier, id_, sim) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(tier.astype(np.int32)), pa.array(id_.astype(np.int64)), pa.array(sim.astype(np.float64))], names=["query", "tier", "id", "sim"])
 
 
 def _before(sent):
@@ -204,16 +205,17 @@ def search(asked: DataFrame, rows: DataFrame, k: int, damping: int = 60) -> Data
     sizes = pc.list_value_length(q["vec"])
     known = {d: _Searches(q.filter(pc.equal(sizes, d)), d) for d in pc.unique(sizes).to_pylist()}
     sent = spark.sparkContext.broadcast(known)
-    found = saved(r.mapInArrow(_kept(sent, k), "query bigint, part int, tier int, id bigint, sim double"), "found")
+    found = r.mapInArrow(_kept(sent, k), "query bigint, tier int, id bigint, sim double").repartition("query")  # the only time that these rows are moved
+    x = found.groupBy("query", "tier", "id", "sim").agg(F.count("*").alias("times"))
+    x = x.withColumn("two", F.sum(F.when(F.col("tier") < 0, F.col("sim") * F.col("times"))).over(Window.partitionBy("query")).cast("bigint")).drop("times").where(F.col("tier") >= 0)
     by = Window.partitionBy("query", "tier").orderBy(F.col("sim").desc(), "id")
-    x = found.where("part >= 0").select("query", "tier", "id", "sim").distinct().withColumn("p", F.row_number().over(by)).where(F.col("p") <= k)
+    x = x.withColumn("p", F.row_number().over(by)).where(F.col("p") <= k)
     x = x.withColumn("u", F.row_number().over(Window.partitionBy("query").orderBy(F.col("sim").desc(), "id"))).withColumn("exact", F.count_if(F.col("tier") == 3).over(Window.partitionBy("query")))
     x = saved(x.where((F.col("tier") == 3) | ((F.col("exact") < k) & (F.col("p") <= k - F.col("exact")) & ((F.col("tier") > 0) | (F.col("u") <= k)))), "first")
     open_ = x.where(F.col("tier").between(1, 2) & (F.col("u") > k)).select("query", "id", "sim").toArrow()
     sent = spark.sparkContext.broadcast(_thresholds(known, open_))
     n = kept.select("id", "vec").mapInArrow(_before(sent), "query bigint, id bigint, n bigint").groupBy("query", "id").agg((F.sum("n") + 1).alias("i"))
-    two = found.where("part = -1").groupBy("query").agg(F.sum("sim").cast("bigint").alias("two"))
-    x = x.join(n, ["query", "id"], "left").join(two, "query", "left").withColumn("i", F.coalesce("i", "u"))
+    x = x.join(n, ["query", "id"], "left").withColumn("i", F.coalesce("i", "u"))
     j = F.when(F.col("tier") == 2, F.col("p")).when(F.col("tier") == 1, F.col("p") + F.coalesce("two", F.lit(0)))
     rrf = 1.0 / (damping + F.col("i")) + F.coalesce(1.0 / (damping + j), F.lit(0.0))
     order = Window.partitionBy("query").orderBy((F.col("tier") == 3).desc(), F.when(F.col("tier") == 3, -F.col("p").cast("double")).otherwise(rrf).desc(), "i")

@@ -21,7 +21,7 @@ def _found(s: SparkSession, df: DataFrame, names, k: int) -> DataFrame:
 
 
 def search_files(s: SparkSession, sf: str) -> DataFrame:
-    f = _files(s, sf)
+    f = table(s, sf, "ci_files").select("id", text.plain_path(F.col("path")).alias("path"), F.col("embedding").alias("vec"))  # the search takes each row once
     return _found(s, f, [navigation.file_stem(F.col("path")), text.base_name(F.col("path")), F.col("path")], 8)
 
 

@@ -236,3 +236,25 @@ def test_search_queries_make_no_pairs(spark, sf, monkeypatch):
 
     monkeypatch.setattr(similarity, "similarities", None)
     assert catalog.core_queries()["search_symbols"](spark, sf).count() > 0 and catalog.core_queries()["search_files"](spark, sf).count() > 0
+
+
+def _shuffled(spark, after=-1):
+    """The last stage's number and the bytes that the stages behind ``after`` wrote for others."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    got = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    stages = [got.apply(i) for i in range(got.size())]
+    return max((s.stageId() for s in stages), default=-1), sum(s.shuffleWriteBytes() for s in stages if s.stageId() > after)
+
+
+def test_search_files_moves_its_table_once_a_pass(spark, tmp_path):
+    from lodespark.plans import catalog
+
+    i = F.col("id")
+    files = spark.range(20_000).select((20 * i + F.when(i % 1000 == 0, 0).otherwise(1)).alias("id"), F.format_string("src/m%d.py", i).alias("path"), F.unhex(F.sha2(i.cast("string"), 256)).alias("content_hash"), F.array(*[F.randn(j).cast("float") for j in range(64)]).alias("embedding"), F.timestamp_seconds(i).alias("mtime"))
+    files.union(files.where("id % 40 = 0")).write.parquet(f"{tmp_path}/ci_files.parquet")
+    size = sum(p.stat().st_size for p in (tmp_path / "ci_files.parquet").glob("*.parquet"))
+    last, _ = _shuffled(spark)
+    got = catalog.core_queries()["search_files"](spark, str(tmp_path)).collect()
+    assert len(got) == 20 * 8 and {(r["query"], r["id"], r["tier"]) for r in got if r["place"] == 1} == {(20_000 * n, 20_000 * n, 3) for n in range(20)}
+    assert _shuffled(spark, last)[1] < 3 * size
